@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pennyworks.llm import packing
+from pennyworks.llm import packing, pu_quality, weak_quality
 from pennyworks.llm.common import table
 
 
@@ -14,8 +14,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_pu_quality": op7_pu_quality,
+    "op8_weak_quality_rules": op8_weak_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
