@@ -85,65 +85,60 @@ def base_failed(q: Column) -> Column:
 
 
 def votes(q: Column) -> dict[str, Column]:
-    """Votes by rule: 1 good, -1 bad, 0 abstains."""
+    """Votes by rule: 1 good, -1 bad, 0 abstains. A rule that knows a defect abstains where it sees none."""
     words, chars = F.greatest(q["n_words"], F.lit(1)), F.greatest(q["word_chars"], F.lit(1))
-
-    def rule(value: Column, good_up_to: float, bad_from: float) -> Column:
-        return F.when(value >= bad_from, -1).when(value <= good_up_to, 1).otherwise(0)
-
+    bad = lambda value, limit: F.when(value >= limit, -1).otherwise(0)
     return {
-        "symbols": rule(q["n_symbols"] / words, 0.05, 0.3),
-        "bars": rule(q["n_bars"] / words, 0.02, 0.15),
-        "bangs": rule(q["n_bangs"] / words, 0.05, 0.5),
-        "upper": rule(q["n_upper"] / chars, 0.12, 0.4),
-        "repeats": rule(q["n_repeat_words"] / words, 0.02, 0.2),
-        "lines": rule((q["lines"]["n"] - q["lines"]["d"]) / F.greatest(q["lines"]["n"], F.lit(1)), 0.1, 0.5),
-        "distinct": F.when(words < 20, 0).when(q["n_distinct"] / words < 0.08, -1).when(q["n_distinct"] / words > 0.2, 1).otherwise(0),
-        "word_length": F.when((chars / words < 2.2) | (chars / words > 16), -1).when((chars / words).between(3, 12), 1).otherwise(0),
-        "digits": rule(q["n_digits"] / chars, 0.08, 0.4),
+        "symbols": bad(q["n_symbols"] / words, 0.25),
+        "bars": bad(q["n_bars"] / words, 0.15),
+        "bangs": bad(q["n_bangs"] / words, 0.4),
+        "upper": bad(q["n_upper"] / chars, 0.4),
+        "repeats": bad(q["n_repeat_words"] / words, 0.2),
+        "lines": bad((q["lines"]["n"] - q["lines"]["d"]) / F.greatest(q["lines"]["n"], F.lit(1)), 0.5),
+        "digits": bad(q["n_digits"] / chars, 0.4),
+        "word_length": F.when((chars / words < 2.2) | (chars / words > 16), -1).otherwise(0),
+        "variety": F.when(words < 30, 0).when(q["n_distinct"] / words < 0.08, -1).when(q["n_distinct"] / words > 0.35, 1).otherwise(0),
+        "prose": F.when((words >= 20) & (q["n_symbols"] + q["n_bangs"] <= 0.02 * words) & (q["n_upper"] <= 0.2 * chars), 1).otherwise(0),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 60) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Share of good documents and, by rule and vote, its probability among good and bad ones.
+#: What is believed of a vote before any text is seen, and the least and most that may be learnt of it.
+PRIOR_RIGHT, LEAST_RIGHT, MOST_RIGHT = 0.9, 0.7, 0.99
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 60) -> tuple[float, list[dict[int, float]]]:
+    """Share of good documents and, by rule and vote, the log odds that the vote adds for good.
 
-    The first guess takes a text with any bad vote for bad, as most rules speak of one defect each.
+    Each round computes every pattern's posterior and from these how often a vote is right; half of
+    that estimate stays with the prior belief, so that a rule which seldom meets another keeps its say.
     """
+    logit = lambda p: math.log(p / (1 - p))
     total = sum(c for _, c in patterns) or 1
-    belief = [1 / (1 + math.exp(-(2 + 0.2 * v.count(1) - 6 * v.count(-1)))) for v, _ in patterns]
-    share, table = PRIOR_GOOD, []
+    belief = [0.02 if -1 in v else 0.98 for v, _ in patterns]
+    share, table = PRIOR_GOOD, [{-1: 0.0, 1: 0.0} for _ in range(n_rules)]
     for _ in range(rounds):
-        good = sum(b * c for b, (_, c) in zip(belief, patterns, strict=True))
-        share = min(0.99, max(0.5, good / total))
-        table = []
+        share = min(0.97, max(0.6, sum(b * c for b, (_, c) in zip(belief, patterns, strict=True)) / total))
         for j in range(n_rules):
-            row = {}
-            for vote in (-1, 0, 1):
-                g = sum(b * c for b, (v, c) in zip(belief, patterns, strict=True) if v[j] == vote)
-                a = sum(c for v, c in patterns if v[j] == vote)
-                row[vote] = ((g + 1) / (good + 3), (a - g + 1) / (total - good + 3))
-            # A vote may be worthless but not turn into its opposite.
-            for vote, sign in ((1, 1), (-1, -1)):
-                p, n = row[vote]
-                if sign * (math.log(p) - math.log(n)) < 0:
-                    row[vote] = ((p + n) / 2, (p + n) / 2)
-            table.append(row)
-        belief = []
-        for v, _ in patterns:
-            z = math.log(share / (1 - share)) + sum(math.log(table[j][x][0] / table[j][x][1]) for j, x in enumerate(v) if x)
-            belief.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
+            for vote in (-1, 1):
+                seen = sum(c for v, c in patterns if v[j] == vote)
+                good = sum(b * c for b, (v, c) in zip(belief, patterns, strict=True) if v[j] == vote)
+                right = (good if vote == 1 else seen - good) / seen if seen else PRIOR_RIGHT
+                right = min(MOST_RIGHT, max(LEAST_RIGHT, (right + PRIOR_RIGHT) / 2))
+                odds = logit(right if vote == 1 else 1 - right) - logit(share)
+                table[j][vote] = max(0.0, odds) if vote == 1 else min(0.0, odds)
+        z = [logit(share) + sum(table[j][x] for j, x in enumerate(v) if x) for v, _ in patterns]
+        belief = [1 / (1 + math.exp(-max(-40.0, min(40.0, x)))) for x in z]
     return share, table
 
 
-def posterior(rules: dict[str, Column], share: float, table: list[dict[int, tuple[float, float]]]) -> Column:
+def posterior(rules: dict[str, Column], share: float, table: list[dict[int, float]]) -> Column:
     z = F.lit(math.log(share / (1 - share)))
     for vote, row in zip(rules.values(), table, strict=True):
-        bad, good = (math.log(row[x][0] / row[x][1]) for x in (-1, 1))
-        z = z + F.when(vote == -1, bad).when(vote == 1, good).otherwise(0.0)
+        z = z + F.when(vote == -1, row[-1]).when(vote == 1, row[1]).otherwise(0.0)
     return 1 / (1 + F.exp(-z))
 
 
-def _learn(counted: DataFrame) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+def _learn(counted: DataFrame) -> tuple[float, list[dict[int, float]]]:
     rules = votes(F.col("_q"))
     voted = counted.select(*[v.cast("int").alias(k) for k, v in rules.items()])
     rows = voted.groupBy(*rules).count().orderBy(*rules).collect()  # at most 3 ** len(rules) patterns
