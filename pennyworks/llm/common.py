@@ -53,3 +53,17 @@ def fold_of(doc_id: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Largest table of ids that is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def by_size(ids: DataFrame) -> DataFrame:
+    """ids, marked for broadcast if it has at most BROADCAST_ROWS rows. Meant for narrow, written tables."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not among ids; rows without a doc_id stay."""
+    return docs.join(by_size(ids), "doc_id", "left_anti").select(*docs.columns)
