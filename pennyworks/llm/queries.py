@@ -5,15 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pennyworks.llm import packing, pu_quality, weak_quality
+from pennyworks.llm import embedding_dedup, html_text, ngram_jaccard, packing, pii, pu_quality, sentencepiece_scan, toxicity_chain, url_rules, weak_quality
 from pennyworks.llm.common import table
 
+URL_RULES = [
+    url_rules.Rule("org", "", "allow"),
+    url_rules.Rule("example.org", "es/", "block"),
+    url_rules.Rule("example.org", "en/1", "block"),
+    url_rules.Rule("com", "fr/", "allow"),
+    url_rules.Rule("com", "de/", "block"),
+]
+
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents")))
+    text = F.coalesce("text", F.lit(""))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", (F.col("decoded") == text).alias("round_trip"))
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    n = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    added = (F.size("all") - F.size("base")).cast("long").alias("n_added")
+    return found.select("doc_id", *n, F.sha2(pii.digest("base"), 256).alias("base_sha256"), pii.digest("all").alias("spans"), added)
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,10 +57,20 @@ def op8_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_chain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_best_fit_packing": op1_best_fit_packing,
-    "op7_pu_quality": op7_pu_quality,
-    "op8_weak_quality_rules": op8_weak_quality_rules,
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_url_rules, op3_sentencepiece_scan, op4_embedding_dedup, op5_ngram_jaccard,
+        op6_pii, op7_pu_quality, op8_weak_quality_rules, op9_html_text, op10_toxicity_chain,
+    )
 }
 
 ORACLES: dict[str, str] = {}
