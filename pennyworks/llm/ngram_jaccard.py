@@ -4,9 +4,10 @@
 2. Two sets that reach the threshold share a shingle among the first 25 % of each in any common order.
    The order is by hash, with shingles that many documents share put last, so that a passage which
    half the corpus quotes forms no candidates unless a text consists of it.
-3. Sets with a common prefix shingle form a tile. First each member is held against the tile's least
-   set, which joins groups of near copies with linear work. Tiles whose members are all connected are
-   done; in the rest, sets of different components and of the same or a neighbouring size band are paired.
+3. Sets with a common prefix shingle form a tile. In some rounds each member is held against one leader of
+   its tile, which joins groups of near copies with linear work. Tiles whose members are all connected are
+   done. In the rest, sets of different components and of the same or a neighbouring size band are
+   paired: by a join in small tiles, by blocks of bitmaps in large ones.
 4. A pair is weighed by its bitmap signatures: differing bits bound the overlap from above. What may
    still pass is settled by intersecting the sorted hash arrays.
 5. Connected components over the links.
@@ -18,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,12 +31,17 @@ from pennyworks.llm.components import connected_components
 WORDS = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 75 * union.
 NEED, OF = 75, 100
-MAX_BITS = 8192
+BITS_A_HASH, MAX_BITS = 4, 4096
 #: The order puts a shingle last if it is in the prefix of so many of every eighth document ...
-COMMON_FROM, COMMON_SHARE = 16, 8
+COMMON_FROM, COMMON_SHARE = 3, 8
 #: ... and at most so many shingles: the table of common ones is broadcast (8 bytes each).
 COMMON_MOST = 1 << 20
 
+#: Rounds of leaders, each the least set of its tile after an exclusive or with one of these.
+LEADER_MASKS = (0, 0x5DEECE66D1CE4E5B)
+#: Members that are not of a tile's largest component are paired by a join up to so many rows of a tile, and by blocks beyond it.
+SMALL_TILE, BLOCK_ROWS = 32, 2_048
+
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -81,8 +88,8 @@ def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """One bit per hash, in a power of two of at least two bits a hash, up to MAX_BITS."""
-    width = min(MAX_BITS, max(64, 1 << (2 * max(1, len(hashes)) - 1).bit_length()))
+    """One bit per hash, in a power of two of at least BITS_A_HASH bits a hash, up to MAX_BITS."""
+    width = min(MAX_BITS, max(64, 1 << (BITS_A_HASH * max(1, len(hashes)) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -185,13 +192,61 @@ class _Join:
         return both.where((OF + NEED) * shared >= NEED * (F.size("ha") + F.size("hb"))).select("a", "b")
 
 
-def _cross_pairs(live: DataFrame) -> DataFrame:
+def _tile_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs that may pass by their bitmaps among the rows of two blocks of a large tile, of different components."""
+    pdf = pdf.reset_index(drop=True)
+    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    width = pdf["bits"].map(len).min()
+    folded = [np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in pdf["bits"]]
+    bits, n, c, sid, part = np.array(folded), *(pdf[x].to_numpy() for x in ("n", "c", "sid", "part"))
+    largest = pdf["c"].value_counts().index[0]
+    found = []
+    for k in np.flatnonzero(c != largest):  # each pair of components has a side that is not the largest
+        other = c != c[k]
+        other &= (sid > sid[k]) | (c == largest)
+        if not same:
+            other &= part != part[k]
+        other &= OF * np.minimum(n, n[k]) >= NEED * np.maximum(n, n[k])
+        at = np.flatnonzero(other)
+        most = (n[at] + n[k] - np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)) // 2
+        found += [(min(sid[k], x), max(sid[k], x)) for x in sid[at[(OF + NEED) * most >= NEED * (n[at] + n[k])]]]
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _cross_pairs(live: DataFrame, meta: DataFrame) -> DataFrame:
     """Pairs of sets of one tile, of different components, and of the same or neighbouring size bands."""
+    sizes = live.groupBy("s").agg(F.count("*").alias("rows"))
+    live = live.join(sizes, "s").join(meta.select("sid", "n", "bits"), "sid")
+    small = live.where(F.col("rows") <= SMALL_TILE)
     band = F.floor(F.log("n") / F.log(F.lit(OF / NEED))).cast("int")
-    x = live.select("s", band.alias("band"), F.col("sid").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    y = live.select("s", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("sid").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    x = small.select("s", band.alias("band"), F.col("sid").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
+    y = small.select("s", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("sid").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
     near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (OF * F.least("na", "nb") >= NEED * F.greatest("na", "nb"))
-    return x.join(y, ["s", "band"]).where(near).select("a", "b").distinct()
+    joined = x.join(y, ["s", "band"]).where(near).select("a", "b")
+
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    large = live.where(F.col("rows") > SMALL_TILE).withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("s", "sid", "c", "n", "bits", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    blocked = large.groupBy("s", "i", "j").applyInPandas(_tile_blocks, "a long, b long")
+    return joined.unionByName(blocked).distinct()
+
+
+def _contracted(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges that join the components as the links do; each node keeps an edge to its component."""
+    return components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
+
+
+def _live(tiles: DataFrame, components: DataFrame | None, mask: int) -> DataFrame:
+    """(s, sid, c, leader) of the tiles that still hold different components."""
+    placed = tiles.select("s", "sid", F.col("sid").alias("c"))
+    if components is not None:
+        known = components.select(F.col("node").alias("sid"), "component")
+        placed = tiles.select("s", "sid").join(known, "sid", "left").select("s", "sid", F.coalesce("component", "sid").alias("c"))
+    masked = F.col("sid").bitwiseXOR(F.lit(mask))
+    still = placed.groupBy("s").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.min(masked).alias("m")).where("least < most")
+    still = still.select("s", F.col("m").bitwiseXOR(F.lit(mask)).alias("leader"))
+    return placed.join(still, "s").select("s", "sid", "c", "leader")
 
 
 def cluster(documents: DataFrame) -> DataFrame:
@@ -204,21 +259,25 @@ def cluster(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = materialize(_profiles(docs, _common(docs)), "shingle-profiles")
-    entries = profiles.select("sid", "n", F.explode("prefix").alias("s"))
-    shared = entries.groupBy("s").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).where("least < most").select("s", "least")
-    tiles = materialize(entries.join(shared, "s"), "tiles")
+    entries = profiles.select(F.explode("prefix").alias("s"), "sid")
+    tiles = materialize(_live(entries, None, LEADER_MASKS[0]), "tiles")
     verify = _Join(docs, profiles, tiles)
-
-    starred = materialize(tiles.where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct(), "star-pairs")
-    links = materialize(verify.links(starred), "star-links")
-    first = connected_components(links)
-
-    placed = tiles.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("s", "sid", "n", F.coalesce("component", "sid").alias("c"))
-    placed = materialize(placed, "placed-tiles")
-    open_tiles = placed.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("s")
-    cross = _cross_pairs(placed.join(open_tiles, "s", "left_semi").distinct()).join(starred, ["a", "b"], "left_anti")
-    more = materialize(verify.links(materialize(cross, "cross-pairs")), "cross-links")
-    roots = connected_components(links.unionByName(more)) if more.take(1) else first
+    pair = F.struct(F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b"))
+
+    roots, tried = None, None
+    for k, mask in enumerate(LEADER_MASKS):
+        if k:
+            tiles = materialize(_live(tiles, roots, mask), "tiles")
+        pairs = tiles.where("sid <> leader").select(pair.alias("p")).select("p.*").distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if k else pairs, "leader-pairs")
+        found = materialize(verify.links(pairs), "leader-links")
+        tried = tried.unionByName(pairs) if k else pairs
+        roots = connected_components(found if not k else _contracted(roots, found))
+    live = materialize(_live(tiles, roots, 0).drop("leader").distinct(), "open-tiles")
+    cross = materialize(_cross_pairs(live, verify.meta).join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+    more = materialize(verify.links(cross), "cross-links")
+    if more.take(1):
+        roots = connected_components(_contracted(roots, more))
 
     rows = profiles.select("doc_id", "n", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     rows = rows.select("doc_id", "n", F.coalesce("component", "sid").alias("c"))
