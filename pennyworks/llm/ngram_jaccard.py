@@ -41,6 +41,8 @@ COMMON_MOST = 1 << 20
 LEADER_MASKS = (0, 0x5DEECE66D1CE4E5B)
 #: Members that are not of a tile's largest component are paired by a join up to so many rows of a tile, and by blocks beyond it.
 SMALL_TILE, BLOCK_ROWS = 32, 2_048
+#: Lowest large tiles of a set that its rows list, so that a pair is not found again in each tile that it shares.
+TILES_LISTED = 64
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -193,13 +195,18 @@ class _Join:
 
 
 def _tile_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs that may pass by their bitmaps among the rows of two blocks of a large tile, of different components."""
+    """Pairs that may pass by their bitmaps among the rows of two blocks of a large tile, of different components.
+
+    A pair that shares a lower tile among those listed in `own` is left to that one.
+    """
     pdf = pdf.reset_index(drop=True)
     same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
     width = pdf["bits"].map(len).min()
     folded = [np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in pdf["bits"]]
     bits, n, c, sid, part = np.array(folded), *(pdf[x].to_numpy() for x in ("n", "c", "sid", "part"))
     largest = pdf["c"].value_counts().index[0]
+    tile = pdf["s"].iloc[0]
+    lower = [frozenset(x for x in own if x < tile) for own in pdf["own"]]
     found = []
     for k in np.flatnonzero(c != largest):  # each pair of components has a side that is not the largest
         other = c != c[k]
@@ -209,7 +216,8 @@ def _tile_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         other &= OF * np.minimum(n, n[k]) >= NEED * np.maximum(n, n[k])
         at = np.flatnonzero(other)
         most = (n[at] + n[k] - np.bitwise_count(bits[at] ^ bits[k]).sum(axis=1, dtype=np.int64)) // 2
-        found += [(min(sid[k], x), max(sid[k], x)) for x in sid[at[(OF + NEED) * most >= NEED * (n[at] + n[k])]]]
+        likely = at[(OF + NEED) * most >= NEED * (n[at] + n[k])]
+        found += [(min(sid[k], sid[x]), max(sid[k], sid[x])) for x in likely if lower[k].isdisjoint(lower[x])]
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
@@ -226,8 +234,9 @@ def _cross_pairs(live: DataFrame, meta: DataFrame) -> DataFrame:
 
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     large = live.where(F.col("rows") > SMALL_TILE).withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("s", "sid", "c", "n", "bits", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    own = large.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("s")), 1, TILES_LISTED).alias("own"))
+    large = large.join(own, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("s", "sid", "c", "n", "bits", "own", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
     blocked = large.groupBy("s", "i", "j").applyInPandas(_tile_blocks, "a long, b long")
     return joined.unionByName(blocked).distinct()
 
