@@ -152,7 +152,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     for step in range(1, steps + 1):
         s = 1 / (1 + np.exp(-np.clip(x @ w + bias, -40, 40)))
         p, u = s[:n_pos], s[n_pos:]
-        negative = -np.log1p(-np.minimum(u, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(p, 1 - 1e-9)).mean()
+        negative = -np.log1p(-np.minimum(u, 1 - 1e-6)).mean() + prior * np.log1p(-np.minimum(p, 1 - 1e-6)).mean()
         # Slopes of the losses by the margin: -(1 - s) for a positive, s for a negative.
         slope = np.concatenate([-prior * (1 - p) / n_pos - prior * p / n_pos, u / max(1, len(u))])
         if negative < 0:  # step back up the negative part, as it has gone below what a risk can be
