@@ -138,11 +138,12 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             rows = [row.astype(np.float32).tobytes() for row in start.features(texts)]
             held = [seeds.intersection(_WORD.findall(t.lower())) for t in texts]
             kinds = [[int(bool(found.intersection(own))) for own in CATEGORY_WORDS.values()] for found in held]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(kinds, pa.list_(pa.int32())), batch.column(1)], names=["x", "kinds", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(kinds, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["x", "kinds", "toxic", "doc_id"])
 
     ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()  # ids alone meet in one task
-    chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "toxic")
-    rows = chosen.mapInArrow(run, "x binary, kinds array<int>, toxic int").collect()
+    chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "toxic", "doc_id")
+    rows = chosen.mapInArrow(run, "x binary, kinds array<int>, toxic int, doc_id long").collect()
+    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))  # folds go by place, so the order must not depend on Spark's
     x = np.array([np.frombuffer(r.x, np.float32) for r in rows], dtype=np.float64).reshape(len(rows), len(words))
     y = np.array([[*(k * r.toxic for k in r.kinds), r.toxic] for r in rows], dtype=np.int64).reshape(len(rows), len(CHAIN))
     if not len(rows):
