@@ -28,6 +28,8 @@ from pennyworks.llm.common import materialize
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 CHUNK_CHARS = 200_000
+#: Rows whose ids a task holds as Python objects at a time.
+ROWS_AT_ONCE = 500
 SCALE = 1 << 20
 UNKNOWN_PENALTY = 10
 NO_RANK = -1e6
@@ -140,7 +142,7 @@ class Lattice:
             end = back[end]
         found = score[n], tuple(i for part in reversed(ids) for i in part)
         if n < 64:
-            if len(self.best) > 500_000:
+            if len(self.best) > 250_000:
                 self.best.clear()
             self.best[text] = found
         return found
@@ -153,7 +155,7 @@ class Lattice:
         parts, known = _PARTS.findall(text), self.parts_of
         fresh = [p for p in set(parts) if p not in known] if self.library else []
         if fresh:
-            if len(known) > 500_000:
+            if len(known) > 250_000:
                 known.clear()
                 fresh = list(set(parts))
             plain = [p for p in fresh if self._plain(p)]
@@ -205,6 +207,12 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None]).max(axis=1), NONE)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 @functools.cache
 def lattice(path: str | None = None) -> Lattice:
     if path is None:
@@ -283,8 +291,8 @@ def encode(documents: DataFrame, chunk_chars: int = CHUNK_CHARS, path: str | Non
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [lattice(path).encode(escape(t.as_py() or "")) for t in batch.column(1)]
+        for batch in _slices(batches):
+            found = [np.array(lattice(path).encode(escape(t.as_py() or "")), np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
 
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
@@ -298,7 +306,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("ids")
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column(at).to_pylist()
             texts = pa.array([decode_ids(x or [], path) for x in ids], pa.string())
             crc = pa.array([zlib.crc32(np.array(x or [], "<u4").tobytes()) for x in ids], pa.int64())
