@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 EPSILON = 1e-10
 
 
-def match(events: DataFrame, order: list[str]) -> DataFrame:
-    """events(commodity, date, ord, quantity, value): quantity under 0 is a disposal. A row per lot and disposal.
+def _running(events: DataFrame, order: list[str]) -> DataFrame:
+    """events with A, all that was bought up to each, and D, all that was consumed.
 
-    Running sums go by commodity and date first, so only one row per day is ordered in a commodity's window; the
-    overlap is found by carrying each boundary's next lot and disposal back over the merged boundaries.
+    Running sums go by commodity and date first, so only one row per day is ordered in a commodity's window.
     """
     bought = F.when(F.col("quantity") > 0, F.col("quantity")).otherwise(0.0)
     sold = F.when(F.col("quantity") < 0, -F.col("quantity")).otherwise(0.0)
@@ -35,6 +34,15 @@ def match(events: DataFrame, order: list[str]) -> DataFrame:
     run = run.join(tops, ["commodity", "date"])
     waste = F.greatest(F.lit(0.0), F.col("excess_day"), F.coalesce("top0", F.lit(0.0)))
     run = run.withColumn("D", F.col("C") - waste)
+    return run
+
+
+def match(events: DataFrame, order: list[str]) -> DataFrame:
+    """events(commodity, date, ord, quantity, value): quantity under 0 is a disposal. A row per lot and disposal.
+
+    The overlap is found by carrying each boundary's next lot and disposal back over the merged boundaries.
+    """
+    run = _running(events, order)
     lots = run.where("quantity > 0").select("commodity", F.col("A").alias("at"), F.struct("date", *dict.fromkeys([*order, "quantity", "value"])).alias("lot"), F.lit(None).alias("sale"))
     sales = run.where("quantity < 0").select("commodity", F.col("D").alias("at"), F.lit(None).alias("lot"), F.struct("date", *dict.fromkeys([*order, "quantity", "value"])).alias("sale"))
     marks = lots.unionByName(sales).groupBy("commodity", "at").agg(F.max("lot").alias("lot"), F.min("sale").alias("sale"))
@@ -49,6 +57,15 @@ def match(events: DataFrame, order: list[str]) -> DataFrame:
     return cut.where("lot is not null and sale is not null").where(F.col("taken") > EPSILON)
 
 
+def remaining(events: DataFrame, order: list[str]) -> DataFrame:
+    """commodity, lot and what is `left` of it after all disposals: the part of its interval beyond the last consumed unit."""
+    run = _running(events, order)
+    sold = run.groupBy("commodity").agg(F.max("D").alias("end"))
+    left = F.least(F.col("quantity"), F.col("A") - F.col("end"))
+    lot = F.struct("date", *dict.fromkeys([*order, "quantity", "value"]))
+    return run.where("quantity > 0").join(sold, "commodity").select("commodity", lot.alias("lot"), left.alias("left")).where(F.col("left") > EPSILON)
+
+
 def gains(matches: DataFrame) -> DataFrame:
     """cost, proceeds and gain of each match, by the shares of the lot and of the disposal that it takes."""
     cost = F.col("lot.value") * F.col("taken") / F.col("lot.quantity")

@@ -19,7 +19,7 @@ KEY = ["l_orderkey", "l_linenumber"]
 _SUM = "CAST(SUM(CAST(amount AS DECIMAL(24,6))) AS DOUBLE)"
 
 
-def _query(sql: str):
+def query(sql: str):
     def put(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         ORACLES[f.__name__] = sql if "FROM events" in sql else f"WITH {ledger.SQL_WITH} {sql}"
@@ -33,7 +33,7 @@ def _search(name: str, text: str, where: str) -> None:
         return ledger.transactions(spark, sf_dir).where(search.condition(text)).select(*KEY, "date")
 
     run.__name__ = name
-    _query(f"SELECT l_orderkey, l_linenumber, date FROM line WHERE {where}")(run)
+    query(f"SELECT l_orderkey, l_linenumber, date FROM line WHERE {where}")(run)
 
 
 _search("search_payee", "payee:customer#0000000.1", "regexp_matches(payee, 'customer#0000000.1', 'i')")
@@ -46,17 +46,17 @@ _search("search_narration_or_meta", "narration:urgent AND date:>=1997-06-01 OR m
 _search("search_free_text", "customer#0+12 .*(high|urgent)", "regexp_matches(payee || ' ' || narration, 'customer#0+12 .*(high|urgent)', 'i')")
 
 
-@_query(f"SELECT account, commodity, {_SUM} AS amount FROM posting GROUP BY 1, 2")
+@query(f"SELECT account, commodity, {_SUM} AS amount FROM posting GROUP BY 1, 2")
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.balances(ledger.postings(ledger.transactions(spark, sf_dir)))
 
 
-@_query(f"SELECT account, commodity, {_SUM} AS amount FROM posting WHERE account = 'assets:asia' OR account LIKE 'assets:asia:%' GROUP BY 1, 2")
+@query(f"SELECT account, commodity, {_SUM} AS amount FROM posting WHERE account = 'assets:asia' OR account LIKE 'assets:asia:%' GROUP BY 1, 2")
 def balances_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.scoped(ledger.postings(ledger.transactions(spark, sf_dir)), "assets:asia")
 
 
-@_query(
+@query(
     f"""SELECT array_to_string(list_slice(string_split(account, ':'), 1, k), ':') AS account, commodity, {_SUM} AS amount
     FROM posting, range(1, 4) t(k) WHERE k <= len(string_split(account, ':')) GROUP BY 1, 2"""
 )
@@ -64,7 +64,7 @@ def account_tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.tree_rollup(B.balances(ledger.postings(ledger.transactions(spark, sf_dir))))
 
 
-@_query(
+@query(
     """, m AS (SELECT DISTINCT account, date_trunc('month', CAST(date AS DATE)) AS m FROM posting WHERE account LIKE 'assets:%'),
     b AS (SELECT account, MIN(m) AS lo, MAX(m) AS hi FROM m GROUP BY 1),
     d AS (SELECT account, UNNEST(generate_series(lo, hi, INTERVAL 1 MONTH)) AS m FROM b)
@@ -74,19 +74,19 @@ def account_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.month_gaps(ledger.postings(ledger.transactions(spark, sf_dir)))
 
 
-@_query("SELECT commodity, COUNT(*) AS n FROM posting WHERE account LIKE 'assets:%' GROUP BY 1")
+@query("SELECT commodity, COUNT(*) AS n FROM posting WHERE account LIKE 'assets:%' GROUP BY 1")
 def held_commodities(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = ledger.postings(ledger.transactions(spark, sf_dir)).where(F.col("account").startswith("assets:"))
     return held.groupBy("commodity").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT DISTINCT CAST(SUBSTRING(date, 1, 4) AS INT) + CASE WHEN SUBSTRING(date, 6, 5) > '06-30' THEN 1 ELSE 0 END AS fy FROM line")
+@query("SELECT DISTINCT CAST(SUBSTRING(date, 1, 4) AS INT) + CASE WHEN SUBSTRING(date, 6, 5) > '06-30' THEN 1 ELSE 0 END AS fy FROM line")
 def financial_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.substring("date", 1, 4).cast("int") + (F.substring("date", 6, 5) > "06-30").cast("int")
     return ledger.lines(spark, sf_dir).select(year.alias("fy")).distinct()
 
 
-@_query(
+@query(
     """, s AS (SELECT l_orderkey, COUNT(*) AS legs, COUNT(DISTINCT commodity) AS kinds FROM line WHERE ABS(qty) >= 1e-9 GROUP BY 1)
     SELECT l_orderkey, l_linenumber, COALESCE(legs = kinds AND legs IN (2, 3), FALSE) AS is_swap FROM line LEFT JOIN s USING (l_orderkey)"""
 )
@@ -94,7 +94,7 @@ def is_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.with_swap_label(ledger.transactions(spark, sf_dir)).select(*KEY, "is_swap")
 
 
-@_query(
+@query(
     """SELECT l_orderkey, l_linenumber, CASE WHEN COUNT(*) OVER (PARTITION BY l_orderkey) >= 2
     THEN ROW_NUMBER() OVER (PARTITION BY l_orderkey, commodity, sgn * qty ORDER BY l_linenumber) - 1 END AS leg FROM line"""
 )
@@ -111,7 +111,7 @@ RULES = [
 ]
 
 
-@_query(
+@query(
     """, r AS (SELECT l_orderkey, l_linenumber, CASE WHEN sgn * qty >= 45 THEN 'large' WHEN narration LIKE '1-%' OR narration LIKE '2-%' THEN 'urgent'
     WHEN LOWER(commodity) LIKE 'brand\\_3%' ESCAPE '\\' THEN 'brand' WHEN l_linenumber = 1 THEN 'first-line' END AS rule_id FROM line)
     SELECT *, CASE rule_id WHEN 'large' THEN 'income:large' WHEN 'urgent' THEN 'expenses:urgent' WHEN 'brand' THEN 'expenses:brand'
@@ -121,13 +121,13 @@ def rule_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.first_match(ledger.transactions(spark, sf_dir), RULES).select(*KEY, "rule_id", "contra")
 
 
-@_query("SELECT l_orderkey, l_linenumber, p.price AS price, p.quote AS quote FROM line ASOF LEFT JOIN price p ON line.commodity = p.commodity AND line.date >= p.date")
+@query("SELECT l_orderkey, l_linenumber, p.price AS price, p.quote AS quote FROM line ASOF LEFT JOIN price p ON line.commodity = p.commodity AND line.date >= p.date")
 def price_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prices.as_of(ledger.lines(spark, sf_dir), ledger.prices(spark, sf_dir), "commodity", "date", "p")
     return found.select(*KEY, "p.price", "p.quote")
 
 
-@_query(
+@query(
     """, one AS (SELECT line.*, p.price AS p1, p.quote AS q1 FROM line ASOF LEFT JOIN price p ON line.commodity = p.commodity AND line.date >= p.date),
     two AS (SELECT one.*, p.price AS p2, p.quote AS q2 FROM one ASOF LEFT JOIN price p ON one.q1 = p.commodity AND one.date >= p.date)
     SELECT l_orderkey, l_linenumber, CASE WHEN q1 = 'AUD' THEN qty * p1 WHEN q2 = 'AUD' THEN qty * p1 * p2 END AS value FROM two"""
@@ -137,7 +137,7 @@ def convert_one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*KEY, "value")
 
 
-@_query(
+@query(
     """, one AS (SELECT line.*, p.quote AS q1 FROM line ASOF LEFT JOIN price p ON line.commodity = p.commodity AND line.date >= p.date)
     SELECT commodity, COUNT(*) AS n, MIN(date) AS first_date, MAX(date) AS last_date FROM one WHERE q1 IS NULL GROUP BY 1"""
 )
@@ -146,7 +146,7 @@ def unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("commodity").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-@_query(
+@query(
     f""", b AS (SELECT account, commodity, {_SUM} AS amount FROM posting WHERE account LIKE 'assets:%' GROUP BY 1, 2),
     l AS (SELECT commodity, arg_max(price, date) AS price FROM price GROUP BY 1)
     SELECT account, commodity, amount, ABS(amount) * price AS value FROM b JOIN l USING (commodity) WHERE ABS(amount) * price >= 500000"""
@@ -157,7 +157,7 @@ def min_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.join(prices.latest(ledger.prices(spark, sf_dir)), "commodity").select("account", "commodity", "amount", value.alias("value")).where("value >= 500000")
 
 
-_LOTS_SQL = """, e AS (SELECT commodity, date, l_orderkey, l_linenumber, sgn * qty AS q, net,
+LOTS_SQL = """, e AS (SELECT commodity, date, l_orderkey, l_linenumber, sgn * qty AS q, net,
   SUM(CASE WHEN sgn > 0 THEN qty ELSE 0 END) OVER w AS a, SUM(CASE WHEN sgn < 0 THEN qty ELSE 0 END) OVER w AS c FROM line
   WINDOW w AS (PARTITION BY commodity ORDER BY date, l_orderkey, l_linenumber, sgn * qty, net ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, c - GREATEST(0, MAX(c - a) OVER (PARTITION BY commodity ORDER BY date, l_orderkey, l_linenumber, q, net ROWS UNBOUNDED PRECEDING)) AS d FROM e),
@@ -168,14 +168,17 @@ m AS (SELECT s.commodity, s.date AS sell_date, s.l_orderkey AS sell_order, s.l_l
 t AS (SELECT *, buy_net * taken / buy_q AS cost, sell_net * taken / sell_q AS proceeds FROM m WHERE taken > 1e-10)"""
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = ledger.lines(spark, sf_dir)
-    events = line.select("commodity", "date", *KEY, (F.col("sgn") * F.col("qty")).alias("quantity"), F.col("net").alias("value"))
-    return lots.gains(lots.match(events, [*KEY, "quantity", "value"]))
+    return line.select("commodity", "date", *KEY, (F.col("sgn") * F.col("qty")).alias("quantity"), F.col("net").alias("value"))
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lots.gains(lots.match(lot_events(spark, sf_dir), [*KEY, "quantity", "value"]))
 
 
-@_query(
-    f"""{_LOTS_SQL} SELECT commodity, sell_date, sell_order, sell_line, buy_date, buy_order, buy_line, taken AS quantity, cost, proceeds, proceeds - cost AS gain,
+@query(
+    f"""{LOTS_SQL} SELECT commodity, sell_date, sell_order, sell_line, buy_date, buy_order, buy_line, taken AS quantity, cost, proceeds, proceeds - cost AS gain,
     proceeds - cost > 0 AND (CAST(SUBSTRING(sell_date, 1, 4) AS INT) - CAST(SUBSTRING(buy_date, 1, 4) AS INT)) * 12 + CAST(SUBSTRING(sell_date, 6, 2) AS INT)
     - CAST(SUBSTRING(buy_date, 6, 2) AS INT) - CASE WHEN SUBSTRING(sell_date, 9, 2) < SUBSTRING(buy_date, 9, 2) THEN 1 ELSE 0 END >= 12 AS discount_eligible
     FROM t WHERE sell_date BETWEEN '1996-07-01' AND '1997-06-30'"""
@@ -190,8 +193,8 @@ def cgt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query(
-    f"""{_LOTS_SQL} SELECT CAST(SUBSTRING(sell_date, 1, 4) AS INT) + CASE WHEN SUBSTRING(sell_date, 6, 5) > '06-30' THEN 1 ELSE 0 END AS fy, COUNT(*) AS n,
+@query(
+    f"""{LOTS_SQL} SELECT CAST(SUBSTRING(sell_date, 1, 4) AS INT) + CASE WHEN SUBSTRING(sell_date, 6, 5) > '06-30' THEN 1 ELSE 0 END AS fy, COUNT(*) AS n,
     ROUND(SUM(cost), 2) AS cost, ROUND(SUM(proceeds), 2) AS proceeds FROM t GROUP BY 1"""
 )
 def cgt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +204,7 @@ def cgt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).groupBy(fy.alias("fy")).agg(F.count("*").alias("n"), money("cost"), money("proceeds"))
 
 
-@_query(
+@query(
     """, a AS (SELECT l_orderkey, l_linenumber, date, account, commodity, amount FROM posting WHERE pos = 0),
     b AS (SELECT *, CASE WHEN LAG(date) OVER w = date AND LAG(commodity) OVER w = commodity THEN 0 ELSE 1 END AS brk FROM a WINDOW w AS (PARTITION BY account ORDER BY date, l_orderkey, l_linenumber, commodity, amount)),
     c AS (SELECT *, SUM(brk) OVER (PARTITION BY account ORDER BY date, l_orderkey, l_linenumber, commodity, amount ROWS UNBOUNDED PRECEDING) AS run FROM b)
@@ -212,19 +215,19 @@ def tx_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.display_groups(ledger.postings(ledger.transactions(spark, sf_dir)).where("pos = 0"))
 
 
-@_query("SELECT l_orderkey, l_linenumber, date, payee FROM line ORDER BY date DESC, l_orderkey, l_linenumber LIMIT 200 OFFSET 100")
+@query("SELECT l_orderkey, l_linenumber, date, payee FROM line ORDER BY date DESC, l_orderkey, l_linenumber LIMIT 200 OFFSET 100")
 def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.lines(spark, sf_dir).select(*KEY, "date", "payee")
     return rows.orderBy(F.desc("date"), *KEY).offset(100).limit(200)
 
 
-@_query("SELECT account, COUNT(*) AS n FROM posting WHERE account LIKE 'income:%' OR account LIKE 'expenses:%' GROUP BY 1")
+@query("SELECT account, COUNT(*) AS n FROM posting WHERE account LIKE 'income:%' OR account LIKE 'expenses:%' GROUP BY 1")
 def report_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.postings(ledger.transactions(spark, sf_dir))
     return rows.where(F.col("account").startswith("income:") | F.col("account").startswith("expenses:")).groupBy("account").agg(F.count("*").alias("n"))
 
 
-@_query(
+@query(
     """SELECT date_trunc('day', ts) AS day, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(24,6))) AS DOUBLE) AS total
     FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY 1, 2"""
 )

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from pennyworks.functions import search
 from pennyworks.functions.patterns import wildcard_regex
-from pennyworks.operators import lots, prices
-from pennyworks.plans import catalog
+from pennyworks.operators import files, lots, prices, reports, swaps
+from pennyworks.plans import catalog, report_queries
 from pennyworks.plans.ledger import TABLES
-from pennyworks.sources import ledger_text
+from pennyworks.sources import ledger_text, ofx
 from pennyworks.streaming import ingest
 
+assert report_queries
 SF = "/root/testdata/sf0.001"
 
 
@@ -121,3 +122,40 @@ def test_stream_equals_table(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("totals").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert plain(spark.table("totals").drop("total").collect()) == plain(ingest.daily_totals(events).drop("total").collect())
+
+
+OFX = """<OFX><CURDEF>AUD<DTSTART>20260101
+<STMTTRN><TRNTYPE>DEBIT<DTPOSTED>20260105120000<TRNAMT>-5.50<FITID>a1<NAME>Shop</STMTTRN>
+<stmttrn><trntype>CREDIT<dtposted>20260106<trnamt>1,200.00<memo>Pay
+</stmttrn><STMTTRN><TRNTYPE>CREDIT<DTPOSTED>20260106<TRNAMT>1,200.00<MEMO>Pay
+</STMTTRN></OFX>"""
+
+
+def test_ofx(spark):
+    lines = ofx.statements(spark.createDataFrame([("f", OFX), ("empty", ""), ("null", None)], "file string, value string"))
+    a, b, c = lines.orderBy("pos").collect()
+    assert (a.currency, a.date, a.amount, a.fitid, a.memo) == ("AUD", "2026-01-05", -5.5, "a1", "Shop")
+    assert (b.date, b.amount, b.memo) == ("2026-01-06", 1200.0, "Pay")
+    assert b.fitid.startswith("syn-") and c.fitid.startswith("syn-") and b.fitid != c.fitid
+    txns = ofx.transactions(lines, "assets:bank").collect()
+    assert len({t.meta for t in txns}) == 3 and all(sum(p.amount for p in t.postings) == 0 for t in txns)
+
+
+def test_what_is_left_of_lots(spark):
+    rows = [("A", "2025-01-01", 1, 10.0, 1000.0), ("A", "2025-02-01", 2, 5.0, 1000.0), ("A", "2025-08-10", 3, -12.0, 3600.0), ("B", "2025-01-01", 4, -3.0, 9.0), ("B", "2025-01-02", 5, 2.0, 8.0)]
+    events = spark.createDataFrame(rows, "commodity string, date string, ord int, quantity double, value double")
+    assert {(r.commodity, r.lot.ord, r.left) for r in lots.remaining(events, ["ord"]).collect()} == {("A", 2, 3.0), ("B", 5, 2.0)}
+    sold = [(r.taken, r.cost, r.proceeds, r.gain) for r in lots.gains(lots.match(events, ["ord"])).orderBy("lot.ord").collect()]
+    assert sold == [(10.0, 1000.0, 3000.0, 2000.0), (2.0, 400.0, 600.0, 200.0)]
+
+
+def test_snapshot_dates():
+    assert reports.snapshot_dates("2024-02-10", "2024-04-15") == ["2024-02-09", "2024-02-29", "2024-03-31", "2024-04-15"]
+    assert reports.snapshot_dates("2024-02-01", "2024-02-29") == ["2024-01-31", "2024-02-29"]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "folder string, file string, size double, day string, key string")
+    assert files.winners(none).count() == 0
+    legs = spark.createDataFrame([], "id int, date string, account string, commodity string, amount double")
+    assert swaps.rank_pairs(legs, ["date", "account"], ["id"]).count() == 0 == swaps.adjacent_pairs(legs, ["id"]).count()
