@@ -86,7 +86,7 @@ def performance_points(postings: DataFrame, quotes: DataFrame, start: str, end:
 
 
 def positions(open_lots: DataFrame, quotes: DataFrame, at: str, base: str) -> DataFrame:
-    """Per commodity of open lots: quantity, cost in the lots' own money, and value in base on a day."""
+    """Per commodity of open lots: quantity, cost, and value on a day in base, the money that the lots were paid in."""
     held = open_lots.groupBy("commodity").agg(F.sum("left").alias("quantity"), money("cost").alias("cost"), F.count("*").alias("lots"))
     return valued(held.withColumn("date", F.lit(at)), quotes, base).select("commodity", "quantity", "lots", "cost", "value")
 

@@ -13,11 +13,11 @@ from pennyworks.plans.catalog import KEY, query
 START, END, BASE = "1996-07-01", "1997-06-30", "AUD"
 
 
-def _convert_sql(rows: str) -> str:
-    """Tables that give `value` in AUD for a table (commodity, date, quantity, ...)."""
+def _convert_sql(rows: str, base: str = BASE) -> str:
+    """Tables that give `value` in base for a table (commodity, date, quantity, ...)."""
     return f"""one AS (SELECT x.*, p.price AS p1, p.quote AS q1 FROM {rows} x ASOF LEFT JOIN price p ON x.commodity = p.commodity AND x.date >= p.date),
     two AS (SELECT one.*, p.price AS p2, p.quote AS q2 FROM one ASOF LEFT JOIN price p ON one.q1 = p.commodity AND one.date >= p.date),
-    v AS (SELECT *, CASE WHEN commodity = 'AUD' THEN quantity WHEN q1 = 'AUD' THEN quantity * p1 WHEN q2 = 'AUD' THEN quantity * p1 * p2 END AS value FROM two)"""
+    v AS (SELECT *, CASE WHEN commodity = '{base}' THEN quantity WHEN q1 = '{base}' THEN quantity * p1 WHEN q2 = '{base}' THEN quantity * p1 * p2 END AS value FROM two)"""
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,17 +95,17 @@ def open_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POSITIONS_SQL = f"""{_OPEN_SQL}, h AS (SELECT commodity, '1998-12-31' AS date, SUM(left_over) AS quantity, ROUND(SUM(net * left_over / q), 2) AS cost, COUNT(*) AS lots FROM o GROUP BY 1),
-    {_convert_sql("h")} SELECT commodity, quantity, lots, cost, value FROM v WHERE value IS NOT NULL"""
+    {_convert_sql("h", "USD")} SELECT commodity, quantity, lots, cost, value FROM v WHERE value IS NOT NULL"""
 
 
 @query(_POSITIONS_SQL)
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.positions(_open_lots(spark, sf_dir), ledger.prices(spark, sf_dir), "1998-12-31", BASE)
+    return reports.positions(_open_lots(spark, sf_dir), ledger.prices(spark, sf_dir), "1998-12-31", "USD")
 
 
-@query(f"{_POSITIONS_SQL} AND value - 1.9 * cost < -1e-10")
+@query(f"{_POSITIONS_SQL} AND value - cost < -1e-10")
 def loss_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return holdings(spark, sf_dir).where(F.col("value") - F.lit(1.9) * F.col("cost") < -lots.EPSILON)
+    return holdings(spark, sf_dir).where(F.col("value") - F.col("cost") < -lots.EPSILON)
 
 
 @query(
