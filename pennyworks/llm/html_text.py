@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
-Mark-up is stripped to lines, one for each block. Lines in menus, headers, footers and the like, lines that
-are mostly links and, where a page marks its article, lines outside it weigh nothing. Weights are summed
-over a sliding window of lines: the text starts where the sum surges and ends where it dives to nothing.
+Mark-up is stripped to lines, one for each block, and tags give each its weight: lines in menus, headers, footers
+and the like and lines that are mostly links weigh nothing, lines of a marked article count more than others.
+Weights are summed over a sliding window of lines. A run of lines ends where the sum dives to nothing; it is text
+if the sum surges somewhere in it, or for those of its lines that share a box with a line of such a run.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: A window of so many characters is a surge on pages that do not mark their article.
+#: A window of such a weight is a surge; a page's best window is one in any case.
 SURGE = 80
+#: Weight of a character in a marked article, and outside it on the same page; 1 on pages without one.
+IN_MAIN, OUTSIDE = 4.0, 0.25
 LINK_SHARE = 0.6
 
 # Element names of HTML.
@@ -47,18 +50,30 @@ class Line:
     linked: int
     apart: bool
     main: bool
+    box: int = 0  # number of the article it is in, else of the element
 
 
-def _is_apart(name: str, attributes: str, in_main: bool) -> bool:
+@dataclass
+class _Open:
+    name: str
+    apart: bool
+    named: bool
+    main: bool
+    box: int
+
+
+def _is_apart(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether its kind sets an element apart, and whether its class or id does, which an article in it overrides."""
     if name in _APART or name == "header" and not in_main:
-        return True
-    if not attributes or name in _MAIN or name in ("html", "body"):
-        return False
+        return True, False
+    if not attributes or name in ("html", "body"):
+        return False, False
+    apart, named = False, False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and _APART_NAMES.search(value) or key == "role" and value in _APART_ROLES or key == "hidden" and m[5]:
-            return True
-    return False
+        apart |= name not in _MAIN and bool(key == "role" and value in _APART_ROLES or key == "hidden" and m[5])
+        named |= key in ("class", "id") and bool(_APART_NAMES.search(value))
+    return apart, named
 
 
 def lines(page: str) -> list[Line]:
@@ -66,25 +81,32 @@ def lines(page: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     linked, links = 0, 0
-    open_: list[tuple[str, bool, bool]] = []  # name, apart, main, of the elements that matter
+    boxes = 0
+    open_: list[_Open] = []  # the elements that matter
     tag, at, size = _TAG, 0, len(page)
 
-    def state() -> tuple[bool, bool]:
-        return any(x[1] for x in open_), any(x[2] for x in open_)
+    def state() -> tuple[bool, bool, int]:
+        """Apart, main and box of what stands here."""
+        apart, named, main, box = False, False, False, 0
+        for x in open_:
+            apart |= x.apart
+            named = x.named or named and not x.main
+            main |= x.main
+            box = x.box if x.main or not main else box
+        return apart or named, main, box
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                apart, main = state()
-                out.append(Line(text, linked, apart, main))
+                out.append(Line(text, linked, *state()))
             parts.clear()
         linked = 0
 
     def close(name: str) -> None:
         for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] == name:
+            if open_[k].name == name:
                 del open_[k:]
                 return
 
@@ -135,37 +157,50 @@ def lines(page: str) -> list[Line]:
             continue
         if name == "a":
             links += 1
-        if name in _CLOSED_BY_NEXT and open_ and open_[-1][0] == name:
+        if name in _CLOSED_BY_NEXT and open_ and open_[-1].name == name:
             open_.pop()
-        apart, main = _is_apart(name, m[3], state()[1]), name in _MAIN
-        if apart or main or name in ("div", "section", "header", "ul", "ol", "table"):
+        within, in_main, _ = state()
+        (apart, named), main = _is_apart(name, m[3], in_main), name in _MAIN
+        named &= not main or within  # an article goes by its own name only where what holds it is apart too
+        if apart or named or main or name in ("div", "section", "header", "ul", "ol", "table"):
             if not m[3].endswith("/"):
-                open_.append((name, apart, main))
+                boxes += 1
+                open_.append(_Open(name, apart, named, main, boxes))
     flush()
     return out
 
 
+def _weight(line: Line, marked: bool) -> float:
+    in_main = marked and line.main
+    if line.apart or not in_main and line.linked > LINK_SHARE * len(line.text):
+        return 0
+    return len(line.text) * (IN_MAIN if in_main else OUTSIDE if marked else 1)
+
+
+def _surging(weights: list[float], at_best: bool) -> list[bool]:
+    """Which lines are in a run that surges; with at_best, the run of the best window does in any case."""
+    n = len(weights)
+    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    surge = min(SURGE, max(sums, default=0)) or SURGE if at_best else SURGE
+    out: list[bool] = []
+    while len(out) < n:
+        end = len(out)
+        while end < n and sums[end]:
+            end += 1
+        out += [max(sums[len(out) : end], default=0) >= surge] * (end - len(out)) + [False] * (end < n)
+    return out
+
+
 def main_text(page: str | None) -> str:
     found = lines(page or "")
     marked = any(x.main and not x.apart for x in found)
-    weights = [0 if x.apart or marked and not x.main or not marked and x.linked > LINK_SHARE * len(x.text) else len(x.text) for x in found]
-    n = len(weights)
-    total = sum(weights[:WINDOW])
-    sums = []
-    for i in range(n):
-        sums.append(total)
-        total += (weights[i + WINDOW] if i + WINDOW < n else 0) - weights[i]
-    surge = 1 if marked else min(SURGE, max(sums, default=0)) or 1
-    kept: list[str] = []
-    inside = False
-    for i in range(n):
-        if not inside and sums[i] >= surge:
-            inside = True
-        elif inside and sums[i] == 0:
-            inside = False
-        if inside and weights[i]:
-            kept.append(found[i].text)
-    return " ".join(kept)
+    weights = [_weight(x, marked) for x in found]
+    surging: dict[int, bool] = {}
+    for best in (True, False):  # the article's lines, or all of an unmarked page; then those outside the article
+        own = [k for k, x in enumerate(found) if (x.main or not marked) == best]
+        surging |= zip(own, _surging([weights[k] for k in own], best), strict=True)
+    boxes = {(found[k].main, found[k].box) for k, yes in surging.items() if yes and weights[k]}
+    return " ".join(x.text for k, x in enumerate(found) if weights[k] and (surging[k] or (x.main, x.box) in boxes))
 
 
 def extract(pages: DataFrame) -> DataFrame:

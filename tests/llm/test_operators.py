@@ -184,6 +184,31 @@ def test_html():
     html_text.main_text("<!--" * 20_000 + '<a "' * 20_000)
 
 
+def test_html_of_unmarked_pages():
+    long = "<p>A sentence that is long enough to count as text, with words in it, and goes on for a while.</p>"
+    links = "<p><a href=x>One</a></p>" * 3
+    found = html_text.main_text(f"<body>{links}<h1>Title</h1><p>By me.</p><p>Today.</p>{long}{links}<p>The end.</p></body>")
+    assert found.startswith("Title By me. Today. A sentence") and found.endswith("a while. The end.") and "One" not in found
+    assert html_text.main_text(f"<div><p>Stray.</p></div>{links}<div>{long}</div>").startswith("A sentence")
+
+
+def test_html_surge_on_marked_pages():
+    long = "<p>" + "A long paragraph of the story that the page tells. " * 10 + "</p>"
+    remark = '<article class="comment-body"><p>A reader says so.</p></article>'
+    assert html_text.main_text(f"<div>{long}</div><p>Stray.</p>{remark}").endswith("A reader says so.")
+    assert html_text.main_text(f"<div>{long}</div><p>Stray.</p>{remark}").startswith("A long paragraph")
+    assert html_text.main_text(f"<p>Stray.</p><article>{long}</article>").startswith("A long paragraph")
+    gap = "<p><button>a</button><button>b</button><button>c</button></p>"
+    assert html_text.main_text(f"<article>{long}</article><article>{gap}<p>Hm.</p>{gap}</article>").endswith("tells.")
+    assert html_text.main_text("<article><p>Hm.</p></article>") == "Hm."
+
+
+def test_html_names_of_wrappers():
+    assert html_text.main_text('<div class="layout has-sidebar"><article><p>Text.</p><div class="share"><p>Tell all</p></div></article></div>') == "Text."
+    assert html_text.main_text('<main><div class="has-sidebar"><article>Text.</article></div><div id="comments"><article class="comment">Me too</article></div></main>') == "Text."
+    assert html_text.main_text("<aside><article>Teaser</article></aside>") == "" == html_text.main_text("<div hidden><article>Text</article></div>")
+
+
 def test_url_rules(spark):
     urls = ["https://A.Example.org/es/1?q", "http://example.org/en/1x", "https://www.site.com/fr/2#t", "https://site.com/de/9", "https://x.net/es/3", "nothing", None, "ftp://", "http://org"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls * 3)], "page_id long, url string, rule string")
