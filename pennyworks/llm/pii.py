@@ -1,16 +1,19 @@
 """Personal data in texts, also where it is disguised, with spans in the text as it was given.
 
-The base kinds are found in the text itself. Then transducers write a normalised text (look-alike
-letters and digits, zero-width characters, spelled digits, `(at)` and `(dot)`), in which every character
-knows the span it came from; what the same detectors find there and the base did not is mapped back.
+The base kinds are found in the text itself. Then transducers, one after the other, write a normalised text
+(look-alike and compatibility letters, digits of all scripts, characters that do not show, `(at)` and `dot`,
+spelled digits, in any case), in which every character knows the span it came from; what the same detectors
+find there and the base did not, or only in part, is mapped back. How many digits are a number they decide.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,66 +75,105 @@ def detect(text: str) -> list[Span]:
 # Look-alikes of Latin letters in Cyrillic and Greek, and of the signs in addresses.
 _LOOKALIKES = dict(zip("аеорсухіјѕһкмнтвԁԛԝАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοινρ", "aeopcyxijshkmhtbdqwABEKMHOPCTXIJSABEZHIKMNOPTYXaoivp", strict=True))
 _LOOKALIKES |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "﹫": "@", "﹒": ".", "﹢": "+"}
-_HIDDEN = "­​‌‍⁠﻿"
 _NUMBERS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_NUMBER = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
-#: So many spelled digits in a row are read as a number.
-SPELLED = 7
-
-#: Signs of a disguise; a text with none of them is left to the base detectors.
-_GLYPHS = f"[{re.escape(''.join(_LOOKALIKES))}！-～٠-٩۰-۹०-९]"
-_SIGNS = (
-    re.compile(rf"{_GLYPHS}|[{_HIDDEN}]"),
-    re.compile(r"[(\[{<][\x20]{0,2}(?:at|dot|AT|DOT|At|Dot)[\x20]{0,2}[)\]}>]"),
-    re.compile(rf"[ ,-](?:{_NUMBER}|dot)[ ,-]{{1,3}}(?:{_NUMBER}|dot)[ ,-]{{1,3}}(?:{_NUMBER}|dot)"),
-)
 
-_DISGUISE = re.compile(
-    rf"(?P<spelled>(?<![A-Za-z])(?:plus[ ,-]{{1,3}})?(?:{_NUMBER})(?:[ ,-]{{1,3}}(?:{_NUMBER}|dot)(?![A-Za-z])){{{SPELLED - 1},}})"
-    r"|(?P<sign>[\x20]{0,3}[(\[{<][\x20]{0,2}(?:at|dot|AT|DOT|At|Dot)[\x20]{0,2}[)\]}>][\x20]{0,3})"
-    r"|(?P<at>(?<=[A-Za-z0-9_])[\x20]{1,3}(?:at|AT)[\x20]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[\x20]{1,3}(?:dot|DOT)[\x20]{1,3}[A-Za-z0-9-]{1,63})+))"
-    r"|(?P<dot>(?<=[A-Za-z0-9])[\x20]{1,3}(?:dot|DOT)[\x20]{1,3}(?=[A-Za-z0-9]))"
-    rf"|(?P<hidden>[{_HIDDEN}]+)"
-    rf"|(?P<glyph>{_GLYPHS})"
+
+def _glyphs() -> dict[str, str]:
+    """What each character that stands for others is read as; those that do not show as nothing."""
+    found = {}
+    for k in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0xE0000, 0xE01F0)):
+        c = chr(k)
+        plain, digit = unicodedata.normalize("NFKC", c), unicodedata.decimal(c, None)
+        if digit is not None:
+            found[c] = str(digit)
+        elif unicodedata.category(c) == "Cf" or k == 0x34F or 0xFE00 <= k <= 0xFE0F or 0xE0100 <= k:
+            found[c] = ""
+        elif plain != c and plain.isascii():
+            found[c] = plain
+    return found | _LOOKALIKES
+
+
+_GLYPHS = _glyphs()
+
+_NUMBER = "(?ai:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
+_NUMBER_HINT = re.compile(r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?![^\W\d_])")
+_WORDS_OF_DIGITS = rf"(?<![^\W\d_]){_NUMBER}+(?![^\W\d_])"
+_GAP = r"[ \t,-]{1,3}"
+#: Stands for a dot that was disguised until it is known which hosts have one.
+_DOT = "\ue000"
+_SIGN_HINT = re.compile(r"[ \t]dot[ \t]|[(\[{<][ \t]{0,2}(?:at|dot|@|\.)[ \t]{0,2}[)\]}>]", re.I)
+_SIGN = re.compile(
+    r"[ \t]{0,3}[(\[{<][ \t]{0,2}(?P<sign>at|dot|@|\.)[ \t]{0,2}[)\]}>][ \t]{0,3}"
+    r"|(?<=[A-Za-z0-9])[ \t]{1,3}(?P<dot>dot)[ \t]{1,3}(?=[A-Za-z0-9])",
+    re.I,
+)
+_LABELS = rf"[A-Za-z0-9-]{{1,63}}(?:[.{_DOT}][A-Za-z0-9-]{{1,63}})+"
+# The host has a disguised dot and ends in a name, and is not itself the local part of what follows.
+_AT = re.compile(
+    rf"(?<=[A-Za-z0-9._%+-])[ \t]{{1,3}}at[ \t]{{1,3}}(?=(?P<host>{_LABELS})(?P<next>[._%+]*@|[ \t]{{1,3}}at[ \t]{{1,3}}{_LABELS})?)",
+    re.I,
 )
+_NO_NAME = re.compile(rf"[.{_DOT}](?:[0-9-]+|{_NUMBER})$", re.I)
+_SPELLED = re.compile(
+    rf"(?P<plus>(?<![^\W\d_])plus{_GAP}(?=[0-9]|{_WORDS_OF_DIGITS})|\+{_GAP}(?={_WORDS_OF_DIGITS}))"
+    rf"|(?P<run>{_WORDS_OF_DIGITS}(?:{_GAP}{_WORDS_OF_DIGITS})*)(?P<tail>{_GAP}(?=[0-9]))?"
+    rf"|(?P<gap>(?<=[0-9]){_GAP}(?={_WORDS_OF_DIGITS}))",
+    re.I,
+)
+_NUMBER_WORD = re.compile(_NUMBER, re.I)
+#: No more than one spelled digit, which next to a whole number is an ordinary word.
+_LITTLE = re.compile(rf"[\W_]*{_NUMBER}?[\W_]*", re.I)
+Edit = tuple[int, int, str]
+
+
+def _plain_glyphs(text: str) -> Iterator[Edit]:
+    held = () if text.isascii() else _GLYPHS.keys() & set(text)
+    for m in re.finditer(f"[{re.escape(''.join(held))}]", text) if held else ():
+        yield m.start(), m.end(), _GLYPHS[m[0]]
 
 
-def _plain(glyph: str) -> str:
-    if "！" <= glyph <= "～":
-        return chr(ord(glyph) - 0xFEE0)
-    return _LOOKALIKES.get(glyph) or str(unicodedata.decimal(glyph))
-
-
-def _segments(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, replacement) of each disguised stretch; a replacement is at most as long as its source."""
-    glyphs, signs, numbers = _SIGNS
-    if not (" dot " in text or " DOT " in text or signs.search(text) or numbers.search(text) or not text.isascii() and glyphs.search(text)):
-        return
-    for m in _DISGUISE.finditer(text):
-        kind, s = m.lastgroup, m[0]
-        if kind == "spelled":
-            s = "".join("+" if w == "plus" else "." if w == "dot" else _NUMBERS[w] for w in re.findall("[a-z]+", s))
-        elif kind in ("sign", "at", "dot"):
-            s = "@" if "at" in s.lower() else "."
-        elif kind == "hidden":
-            s = ""
+def _plain_signs(text: str) -> Iterator[Edit]:
+    for m in _SIGN.finditer(text) if _SIGN_HINT.search(text) else ():
+        yield m.start(), m.end(), "@" if m["sign"] and m["sign"].lower() in ("at", "@") else _DOT
+
+
+def _plain_at(text: str) -> Iterator[Edit]:
+    for m in _AT.finditer(text) if _DOT in text else ():
+        if _DOT in m["host"] and not m["next"] and not _NO_NAME.search(m["host"]):
+            yield m.start(), m.end(), "@"
+
+
+def _plain_numbers(text: str) -> Iterator[Edit]:
+    for m in _SPELLED.finditer(text) if _NUMBER_HINT.search(text.lower()) else ():
+        if m["plus"]:
+            yield m.start(), m.end(), "+"
+        elif m["gap"]:
+            yield m.start(), m.end(), " "
         else:
-            s = _plain(s)
-        yield m.start(), m.end(), s
+            words = [(w.start(), _NUMBERS[w[0].lower()]) for w in _NUMBER_WORD.finditer(text, m.start(), m.end("run"))]
+            for (at, digit), end in zip(words, [*(x for x, _ in words[1:]), m.end("run")], strict=True):
+                yield at, end, digit
+            if m["tail"]:
+                yield m.start("tail"), m.end("tail"), " "
 
 
 class Normalised:
-    """A normalised text and the way back to the source."""
+    """A text after some edits, and the way back to the source."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, edits: Callable[[str], Iterator[Edit]], before: Normalised | None = None):
+        self.before = before
         self.segments: list[tuple[int, int, int, int]] = []  # start and end in the text, start and end in the source
         parts, at, length = [], 0, 0
-        for start, end, s in _segments(text):
+        for start, end, s in edits(text):
             parts += [text[at:start], s]
             length += start - at
             self.segments.append((length, length + len(s), start, end))
             length, at = length + len(s), end
         self.text = "".join([*parts, text[at:]]) if self.segments else text
+        self.starts, self.ends = [x[0] for x in self.segments], [x[1] for x in self.segments]
+
+    def then(self, edits: Callable[[str], Iterator[Edit]]) -> Normalised:
+        return Normalised(self.text, edits, self)
 
     def source(self, start: int, end: int) -> tuple[int, int, bool]:
         """Source span of [start, end), and whether a disguise lies in it."""
@@ -147,13 +189,13 @@ class Normalised:
             elif s < end:
                 last = source_e
             touched |= s < end and e > start or s == e and start < s < end
-        return first, last, touched
+        if not self.before:
+            return first, last, touched
+        first, last, earlier = self.before.source(first, last)
+        return first, last, touched or earlier
 
     def _near(self, start: int, end: int) -> list[tuple[int, int, int, int]]:
-        import bisect
-
-        low = bisect.bisect_right(self.segments, start, key=lambda x: x[1])
-        high = bisect.bisect_left(self.segments, end, key=lambda x: x[0])
+        low, high = bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
         return self.segments[max(0, low - 1) : high]
 
 
@@ -161,15 +203,30 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), both by start, then kind."""
     text = text or ""
     base = detect(text)
-    normal = Normalised(text)
-    if not normal.segments:
-        return base, base
-    added = []
-    for start, end, kind in detect(normal.text):
-        s, e, touched = normal.source(start, end)
-        if touched and not any(s < y and x < e for x, y, _ in base):
-            added.append((s, e, kind))
-    return base, sorted([*base, *added], key=lambda x: (x[0], KINDS.index(x[2])))
+    plain = Normalised(text, _plain_glyphs).then(_plain_signs).then(_plain_at)
+    plain.text = plain.text.replace(_DOT, ".") if plain.before.segments else plain.text
+    numbers = plain.then(_plain_numbers)
+    again = [(plain, x) for x in detect(plain.text)] if plain.text != text else []
+    again += [(numbers, x) for x in detect(numbers.text) if x[2] != "email"] if numbers.segments else []
+    starts, ends = [x for x, _, _ in base], list(itertools.accumulate((y for _, y, _ in base), max))
+    added = set()
+    for form, (start, end, kind) in again:
+        s, e, touched = form.source(start, end)
+        if touched and _is_more(text, s, e, [(x, y) for x, y, _ in base[bisect.bisect_right(ends, s) : bisect.bisect_left(starts, e)] if s < y]):
+            added.add((s, e, kind))
+    widest, reach = [], dict.fromkeys(KINDS, -1)
+    for x in sorted(added, key=lambda x: (x[0], -x[1])):
+        if x[1] > reach[x[2]]:
+            widest.append(x)
+            reach[x[2]] = x[1]
+    return base, sorted([*base, *widest], key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+
+
+def _is_more(text: str, start: int, end: int, base: list[tuple[int, int]]) -> bool:
+    """Whether [start, end) tells more than the base spans that it meets."""
+    if not base:
+        return True
+    return not all(_LITTLE.fullmatch(x) for x in (text[start : min(x for x, _ in base)], text[max(y for _, y in base) : end]))
 
 
 def spans(documents: DataFrame) -> DataFrame:

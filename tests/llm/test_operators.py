@@ -153,6 +153,38 @@ def test_disguises(text, kind, span):
     assert base == [] and [(text[s:e], k) for s, e, k in found] == [(span, kind)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("no 4111 one one one one 1111 1111 x", "card", "4111 one one one one 1111 1111"),
+        ("no Four one one one, 1111, one one one one-1111 x", "card", "Four one one one, 1111, one one one one-1111"),
+        ("ph plus one five five five 123 4567 x", "phone", "plus one five five five 123 4567"),
+        ("ph PLUS 1 FIVE FIVE FIVE 123 4567 x", "phone", "PLUS 1 FIVE FIVE FIVE 123 4567"),
+        ("bob At example Dot com ok", "email", "bob At example Dot com"),
+        ("bob at example (dot) com ok", "email", "bob at example (dot) com"),
+        ("bob at mail.example dot com ok", "email", "bob at mail.example dot com"),
+        ("bob [aT] example{DoT}com ok", "email", "bob [aT] example{DoT}com"),
+        ("host 192 dot one six eight dot 0[.]1 x", "ip", "192 dot one six eight dot 0[.]1"),
+        ("call +१२३४५６𝟕⑧٩0 x", "phone", "+१२३४५６𝟕⑧٩0"),
+        ("𝐛ob@ex⁢ample.ｃom", "email", "𝐛ob@ex⁢ample.ｃom"),
+        ("no ｆour one one one 1111 1111 1111 x", "card", "ｆour one one one 1111 1111 1111"),
+    ],
+)
+def test_mixed_disguises(text, kind, span):
+    assert [(text[s:e], k) for s, e, k in pii.find(text)[1] if (s, e, k) not in pii.find(text)[0]] == [(span, kind)]
+
+
+def test_disguises_that_extend_base_spans(spark):
+    text = "bob@example.com dot au"
+    assert pii.find(text) == ([(0, 15, "email")], [(0, 15, "email"), (0, 22, "email")])
+    assert pii.redact(documents(spark, [(1, f"to {text}!")])).first().text == "to <EMAIL>!"
+    for t in ("call +1 555 123 4567 one more time", "at 10.0.0.1 one sees", "write at john.doe@example.com", "we met at one dot two", "look at main.py", "sıx sİx ſix seven"):
+        base, found = pii.find(t)
+        assert base == found
+    assert [x[2] for x in pii.find("write at john dot doe at example dot com")[1]] == ["email"]
+    pii.find("one " * 50_000 + "dot " * 50_000 + "a at b dot " * 20_000 + "​" * 50_000)  # linear
+
+
 def test_pii_spans(spark, corpus):
     row = pii.spans(documents(spark, corpus)).where("doc_id = 110").first()
     text = corpus[-2][1]
