@@ -253,6 +253,23 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_tokens_are_whole(spark):
+    url = "https://a.b.c.d.casino-win.com/1/two/three/four/five?X1=2&y"
+    host, path = url_rules.host_and_path(F.lit(url))
+    found = set(spark.range(1).select(url_rules.tokens(host, path, url_rules.query_of(F.lit(url)))).first()[0])
+    assert found >= {"host:a.b.c.d.casino-win.com", "host:com", "word:a", "word:casino", "word:win", "path1:#", "path4:four", "path:four", "last:five", "query:x#", "query:y"}
+
+
+@pytest.mark.parametrize("url", ["https://casino-win-{0}.com/1/2/3/4/5", "https://s{0}.org/1/2/3/marked/5", "https://s{0}.org/1/2/3/4/5?marked=1", "https://casino.c{0}.d{0}.e{0}.net/1/2/3/4/5"])
+def test_url_rules_learn_from_every_part(spark, url):
+    rules = [url_rules.Rule(url.format(k).split("/")[2], "", "block") for k in range(4)]
+    rules += [url_rules.Rule(f"good{k}.com", "", "allow") for k in range(4)] + [url_rules.Rule(f"good{k}.org", "", "allow") for k in range(4)] + [url_rules.Rule("good.net", "", "allow")]
+    urls = [url.format(k) for k in range(4)] * 5 + [f"https://good{k}.{t}/1/2/3/4/5" for k in range(4) for t in ("com", "org")] * 5 + ["https://good.net/1/2/3/4/5"] * 40
+    new = url.format(9)
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, new])], "page_id long, url string")
+    assert url_rules.judge(pages, rules).where(F.col("page_id") == len(urls)).first().method_verdict == "block"
+
+
 def test_classifiers(spark):
     rng = random.Random(7)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
