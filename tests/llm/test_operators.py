@@ -118,6 +118,22 @@ def test_packing(spark, corpus):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize(("max_docs", "max_cost"), [(3, None), (None, 2500), (3, 2500), (None, None)])
+def test_best_fit_keeps_every_capacity(rule, max_docs, max_cost):
+    lengths = np.random.default_rng(3).integers(1, 50, 400)
+    sequence, offset = packing.best_fit(lengths, 100, max_docs, max_cost, rule=rule)
+    for k in np.unique(sequence):
+        own = np.flatnonzero(sequence == k)
+        own = own[np.argsort(offset[own])]
+        assert (offset[own] == np.cumsum(lengths[own]) - lengths[own]).all() and lengths[own].sum() <= 100
+        assert len(own) <= (max_docs or 100) and (lengths[own] ** 2).sum() <= (max_cost or 100**2)
+    tens = np.full(12, 10)
+    due = max(-(-12 // min(10, max_docs or 10)), -(-12 // min(10, (max_cost or 10**4) // 100)))
+    assert len(np.unique(packing.best_fit(tens, 100, max_docs, max_cost, rule=rule)[0])) == due
+    assert len(np.unique(packing.best_fit(tens, 100, 5, 200, rule=rule)[0])) == 6
+
+
 def test_sentencepiece_round_trip_and_chunks(spark, corpus):
     rows = [*corpus, (300, "x" * 999 + "éß漢" * 99), (301, " lead  two\n\n tail ")]
     whole = {(r.doc_id, r.text): r for r in sentencepiece_scan.decode(sentencepiece_scan.encode(documents(spark, rows))).collect()}
