@@ -306,6 +306,31 @@ def test_classifiers(spark):
     assert pu_quality.classify(docs.limit(0), marks).count() == 0
 
 
+def test_toxicity_in_every_language(spark):
+    """Held-out recall and precision by language on the labelled documents of sf0.1."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found = toxicity_chain.classify(docs.join(labels.select("doc_id"), "doc_id", "left_semi").repartition(8), labels)
+    rows = found.where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("lang", "toxic", "predicted").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic, clean = ([r.predicted for r in rows if r.lang == lang and r.toxic == k] for k in (1, 0))
+        assert np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.02
+
+
+def test_toxicity_with_given_categories(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
+    rows = [(k, " ".join([*rng.choices(words, k=30), *(["Zoundlet", "zoundling"] if k % 4 == 0 else []), *(["grabblish"] if k % 8 == 0 else [])])) for k in range(300)]
+    marks = spark.createDataFrame([(k, int(k % 4 == 0), int(k % 8 == 0), "x") for k in range(300)], "doc_id long, toxic int, threat int, score string")
+    docs = documents(spark, [*rows, (None, rows[0][1]), (400, None), (401, " "), (402, "zoundlike " + "x" * 300_000), (8, rows[8][1])])
+    found = toxicity_chain.classify(docs, marks, categories=("threat",)).collect()
+    by_id = {r.doc_id: r for r in found}
+    assert len(found) == 305 and "p_threat" in found[0] and by_id[None].held_out is False
+    assert all((r.predicted == 1) == (r.doc_id % 4 == 0) and (r.p_threat > 0.5) == (r.doc_id % 8 == 0) for r in found if r.doc_id is not None and r.doc_id < 300)
+    assert by_id[400].predicted == by_id[401].predicted == 0 and len({(r.score, r.predicted) for r in found if r.doc_id == 8}) == 1
+    assert toxicity_chain.classify(docs.limit(0), marks).count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
