@@ -48,14 +48,28 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
+#: Rows that a task holds as Python objects at a time, words whose hashes it remembers, and their length at most.
+ROWS_AT_ONCE, WORDS_REMEMBERED, WORD_BYTES = 256, 50_000, 64
+
+
 class _WordHashes(dict):
+    """Some MB at most, whatever the texts."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD_BYTES:
+            if len(self) >= WORDS_REMEMBERED:
+                self.clear()
+            self[word] = value
         return value
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def shingles(text: str | None, words: _WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's 5-word shingles; of all words if there are fewer."""
     words = _WordHashes() if words is None else words
@@ -114,13 +128,13 @@ def _profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, seen = _WordHashes(), shared.value, set()
-        for batch in batches:
+        for batch in _slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = shingles(text.as_py(), words)
                 sid = set_id(hashes)
                 head = prefix(hashes, last) if doc_id is not None and sid not in seen else hashes[:0]
-                if doc_id is not None and len(seen) < 200_000:
+                if doc_id is not None and len(seen) < 20_000:
                     seen.add(sid)  # a copy in the same task needs no second prefix
                 for column, value in zip(rows, (doc_id, sid, len(hashes), bitmap(hashes), head.view(np.int64)), strict=True):
                     column.append(value)
@@ -171,7 +185,7 @@ class _Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _WordHashes()
-            for batch in batches:
+            for batch in _slices(batches):
                 found = [shingles(text.as_py(), words) for text in batch.column(1)]
                 keep = [k for k, (h, sid) in enumerate(zip(found, batch.column(0).to_pylist(), strict=True)) if set_id(h) == sid]
                 sid = batch.column(0).take(pa.array(keep, pa.int64()))
@@ -223,9 +237,9 @@ def _tile_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _cross_pairs(live: DataFrame, meta: DataFrame) -> DataFrame:
     """Pairs of sets of one tile, of different components, and of the same or neighbouring size bands."""
-    sizes = live.groupBy("s").agg(F.count("*").alias("rows"))
-    live = live.join(sizes, "s").join(meta.select("sid", "n", "bits"), "sid")
-    small = live.where(F.col("rows") <= SMALL_TILE)
+    sizes = materialize(live.groupBy("s").agg(F.count("*").alias("rows")).where(F.col("rows") > SMALL_TILE), "large-tiles")
+    live = live.join(by_size(sizes), "s", "left").join(meta.select("sid", "n", "bits"), "sid")  # a large tile is not gathered by its key
+    small = live.where(F.col("rows").isNull())
     band = F.floor(F.log("n") / F.log(F.lit(OF / NEED))).cast("int")
     x = small.select("s", band.alias("band"), F.col("sid").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
     y = small.select("s", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("sid").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
@@ -233,7 +247,7 @@ def _cross_pairs(live: DataFrame, meta: DataFrame) -> DataFrame:
     joined = x.join(y, ["s", "band"]).where(near).select("a", "b")
 
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    large = live.where(F.col("rows") > SMALL_TILE).withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    large = live.where(F.col("rows").isNotNull()).withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     own = large.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("s")), 1, TILES_LISTED).alias("own"))
     large = large.join(own, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("s", "sid", "c", "n", "bits", "own", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
