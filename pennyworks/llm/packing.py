@@ -44,9 +44,13 @@ def _vocabulary(name: str) -> str:
 def _plain_encoder(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def _added_tokens(path: str) -> tuple[str, ...]:
+    """Strings that the vocabulary takes as one token each, wherever they stand in a text."""
+    return tuple(t.content for t in _plain_encoder(path).get_added_tokens_decoder().values())
 
 
 @functools.cache
@@ -62,11 +66,11 @@ def _fast_encoder(path: str):
 def encode(text: str, vocabulary: str | None = None, ranks: str | None = None) -> np.ndarray:
     """Ids of the 50k byte-level BPE vocabulary as little-endian unsigned 32-bit integers.
 
-    The rank file holds the same vocabulary; its encoder gives the same ids about five times as fast.
+    The rank file holds the same vocabulary without its added tokens; its encoder gives the same ids about five times as fast.
     """
-    if _LONG_BLANK.search(text):
-        plain = _plain_encoder(vocabulary or _vocabulary("byte_bpe_50k.json"))
-        return np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    vocabulary = vocabulary or _vocabulary("byte_bpe_50k.json")
+    if _LONG_BLANK.search(text) or any(t in text for t in _added_tokens(vocabulary)):
+        return np.array(_plain_encoder(vocabulary).encode(text, add_special_tokens=False).ids, dtype="<u4")
     return np.array(_fast_encoder(ranks or _vocabulary("byte_bpe_50k.tiktoken")).encode_ordinary(text), dtype="<u4")
 
 
@@ -175,10 +179,11 @@ def pack(docs: DataFrame, max_tokens: int = SEQUENCE_TOKENS, shard_pieces: int =
 
     A null or empty text is one piece that holds the separator alone. Repeated rows are packed once
     each, ties in length keep a fixed order, a null doc_id is packed like any other, an empty table
-    gives an empty result, and columns besides doc_id and text are not looked at.
+    gives an empty result, and columns besides doc_id and text are not looked at. A text is read whole, however long, and
+    only cut if it exceeds a sequence.
     """
     pieces = materialize(piece_table(docs, max_tokens), "pieces")
-    shards = max(1, -(-pieces.count() // shard_pieces))
+    shards = max(1, -(-pieces.count() // shard_pieces))  # a count of the written table
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf["shard"].iloc[0])
@@ -186,5 +191,6 @@ def pack(docs: DataFrame, max_tokens: int = SEQUENCE_TOKENS, shard_pieces: int =
         sequence, offset = best_fit(pdf["length"].to_numpy(np.int64), max_tokens, **limits)
         return pdf.assign(sequence_id=sequence + (shard << 40), offset=offset).drop(columns="shard")
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
+    # The place among the written rows deals repeated rows, too, to all shards; a recomputed task reads the same files.
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
     return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(run, PACKED_SCHEMA)
