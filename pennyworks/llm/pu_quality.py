@@ -1,14 +1,13 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled 1; the unlabelled set is a sample of all documents outside
-the held-out fold, with any label hidden. The class prior is the share of 1 among the labels of the
-learning folds, which holds for labelled rows, and the best-bin estimate from the scores, a low
-one. A linear model over binned text statistics minimises the non-negative unbiased risk
+the held-out fold, with any label hidden. No label of 0 is ever read. The class prior comes from the scores of a draft model:
+the positives' share among the unlabelled is at most the ratio of the two shares above any score, and the least
+ratio is taken. A linear model over binned text statistics then minimises the non-negative unbiased risk
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 
-once for either prior and once for their mean; the score is the mean of the three. The fit runs on the
-driver over at most `SAMPLE_ROWS` rows of each kind; scoring runs over every whole text.
+The fit runs on the driver over at most `SAMPLE_ROWS` positives and `UNLABELLED_ROWS` others; scoring runs over every whole text.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 
 from pennyworks.llm.common import fold_of
 
-#: Bound of each of the two learning samples, taken in the order of a hash of the id.
-SAMPLE_ROWS = 8_000
+#: Bounds of the two learning samples, of trusted positives and of the unlabelled, taken in the order of a hash of the id.
+SAMPLE_ROWS, UNLABELLED_ROWS = 8_000, 8_000
 THRESHOLD = 0.3
 BINS = 8
 
@@ -91,16 +90,6 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
     return np.array([features(t or "") for t in texts], dtype=np.float64).reshape(len(texts), len(FEATURES))
 
 
-@dataclass(frozen=True)
-class Mean:
-    """Mean score of models that differ in the class prior."""
-
-    models: tuple
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return np.mean([m.score(x) for m in self.models], axis=0)
-
-
 @dataclass(frozen=True)
 class Model:
     """Linear over one-hot bins of each feature."""
@@ -124,12 +113,10 @@ def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(min(ratios), 0.05, 0.95))
 
 
-def fit_mean(positive: np.ndarray, unlabelled: np.ndarray, share: float | None = None) -> Mean:
-    """Models for the low and the high estimate of the prior and for their mean."""
+def fit_estimated(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """A model for the prior that a draft's scores give."""
     draft = fit(positive, unlabelled, prior=0.5, steps=150)
-    low = best_bin_prior(draft.score(positive), draft.score(unlabelled))
-    high = max(low, share or low)
-    return Mean(tuple(fit(positive, unlabelled, prior) for prior in (low, (low + high) / 2, high)))
+    return fit(positive, unlabelled, best_bin_prior(draft.score(positive), draft.score(unlabelled)))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600) -> Model:
@@ -166,18 +153,15 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(edges, w.reshape(len(FEATURES), width).astype(np.float64), float(bias), prior)
 
 
-def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Mean:
-    """Fit on the learning folds. Of the labels only those outside fold 0 are read."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold_of(F.col("doc_id")) != 0))
-    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    share = known.agg(F.avg("quality"), F.min("quality")).first()
-    prior = float(np.clip(share[0], 0.02, 0.98)) if share[0] is not None and share[1] == 0 else None
+def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> Model:
+    """Fit on the learning folds. Of the labels only those of 1 outside fold 0 are read."""
+    known = labels.where(F.col("doc_id").isNotNull() & (F.col("quality").cast("int") == 1) & (fold_of(F.col("doc_id")) != 0))
     order = F.xxhash64("doc_id")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    trusted = known.where("quality = 1").select("doc_id").orderBy(order).limit(sample_rows)
+    trusted = known.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(order).limit(sample_rows)
     web = texts.select("doc_id").where("doc_id is not null").where(fold_of(F.col("doc_id")) != 0)
-    web = web.orderBy(order).limit(sample_rows)
-    # At most twice sample_rows ids, so the broadcast does not grow with the data.
+    web = web.orderBy(order).limit(unlabelled_rows)
+    # The two bounds hold for the ids, so the broadcast does not grow with the data.
     chosen = trusted.select("doc_id", F.lit(1).alias("trusted")).unionByName(web.select("doc_id", F.lit(0).alias("trusted")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,34 +175,33 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     positive = np.array([r.x for r in rows if r.trusted == 1]).reshape(-1, len(FEATURES))
     unlabelled = np.array([r.x for r in rows if r.trusted == 0]).reshape(-1, len(FEATURES))
     if not len(positive) or not len(unlabelled):
-        p = prior or 0.5
-        return Mean((Model(np.zeros((len(FEATURES), 1)), np.zeros((len(FEATURES), 2)), math.log(p / (1 - p)), p),))
-    return fit_mean(positive, unlabelled, prior)
+        return Model(np.zeros((len(FEATURES), 1)), np.zeros((len(FEATURES), 2)), 0.0, 0.5)
+    return fit_estimated(positive, unlabelled)
 
 
-def score(documents: DataFrame, model: Mean) -> DataFrame:
-    """Every row of documents with `score`, its own columns untouched.
+def score(documents: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """Every row of documents with a column `into`, which must not be one of its own.
 
-    A null or empty text scores by the features of an empty text. An own column `score` is replaced.
+    A null or empty text scores by the features of an empty text.
     """
-    names = [c for c in documents.columns if c != "score"]
-    kept = documents.select(*names)
-    schema = kept.select("*", F.lit(0.0).alias("score")).schema
+    names = documents.columns
+    schema = documents.select("*", F.lit(0.0).alias(into)).schema
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array(model.score(_matrix(batch.column(at).to_pylist())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, into])
 
-    return kept.mapInArrow(run, schema)
+    return documents.mapInArrow(run, schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of documents.
 
     Nulls in doc_id give held_out false; repeated rows are scored alike; an empty table gives an empty
-    result; without any label of 1 all rows score the prior; other columns are not looked at.
+    result; without any label of 1 all rows score one half; a score at the threshold is predicted 1; a text is read whole,
+    however long; other columns are not looked at.
     """
     scored = score(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learn(documents, labels))
     held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False))
@@ -226,7 +209,12 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of documents that are not rejected, with their own columns."""
-    names = documents.columns
-    scored = score(documents, learn(documents, labels))
-    return scored.where(F.col("score") >= threshold).select(*names)
+    """The rows of documents that are not rejected, with their own columns, whatever these are called.
+
+    A null or empty text is scored as an empty one; a row without a doc_id is scored like any other; repeated rows are kept
+    or rejected alike, and a score at the threshold keeps; texts are read whole; an empty table gives an empty result.
+    """
+    names, into = documents.columns, "_score"
+    while into in names:
+        into = "_" + into
+    return score(documents, learn(documents, labels), into).where(F.col(into) >= threshold).select(*names)
