@@ -101,6 +101,44 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in found} == {(k, n[k], due[k], due[k] == k) for k in range(150)} | {(k, 0, k, True) for k in range(200, 205)}
 
 
+def test_embeddings_of_extreme_norms_and_repeated_ids(spark):
+    pairs = [[1e-200, 1e-200], [1e-200, 1.01e-200], [1e200, 1e200], [1.0, 1.0], [1.0, 1.01], [1e300, -1e300], [1e-300, -1e-300], [5e-324, 0.0]]
+    rows = [(k, v, "a", 9) for k, v in enumerate(pairs)] + [(3, [-1.0, 5.0], "a", 9), (50, [-1.0, 5.0], "a", 9), (None, [1.0, 1.0], "a", 9)]
+    found = sorted(map(tuple, embedding_dedup.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, node int")).collect()), key=str)
+    due = [(k, 4, 0, k == 0) for k in range(5)] + [(5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (3, 1, 3, True), (50, 1, 3, False), (None, 0, None, False)]
+    assert found == sorted(due, key=str)
+    assert embedding_dedup.cluster(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_two_levels_of_cells_equal_brute_force(spark, monkeypatch):
+    for name, value in (("CELL_ROWS", 10), ("TOP_CELLS", 4), ("SAMPLE_A_CELL", 40)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    x[100:400] = x[rng.integers(0, 100, 300)] + rng.normal(size=(300, 6)) * 0.2
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = np.triu(unit @ unit.T >= 0.93, 1)
+    links = list(zip(*map(list, np.nonzero(linked)), strict=True))
+    due, n = components_of(links, range(400)), collections.Counter(v for pair in links for v in pair)
+    found = embedding_dedup.cluster(spark.createDataFrame([(k, x[k].tolist(), "a") for k in range(400)], "vec_id long, embedding array<double>, label string"))
+    assert {tuple(r) for r in found.collect()} == {(k, n[k], due[k], due[k] == k) for k in range(400)}
+
+
+def test_ids_are_those_of_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a <|endoftext|> b", "", "  lead\n\n tail ", "éß漢 don't 12345", "x" * 5000, " " * 6000 + "x", "<|endoftext", "a\u200bb\u00a0c\r\n\tq"):
+        assert packing.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_rows_are_dealt_to_all_shards(spark):
+    rows = packing.pack(documents(spark, [(7, "one two three")] * 300).repartition(4), max_tokens=16, shard_pieces=50).collect()
+    assert len(rows) == 300 and len({r.sequence_id >> 40 for r in rows}) > 3
+    assert all(sorted(r.offset for r in rows if r.sequence_id == s)[0] == 0 for s in {r.sequence_id for r in rows})
+
+
 def test_packing(spark, corpus):
     rows = packing.pack(documents(spark, corpus), max_tokens=256, shard_pieces=40).collect()
     by_sequence = collections.defaultdict(list)
@@ -222,6 +260,53 @@ def test_quality_counts_equal_brute_force(spark, corpus):
     assert weak_quality.judge(documents(spark, [])).count() == 0
 
 
+def test_quality_keeps_every_column(spark, corpus):
+    rows = [(i, t, "mine", f"{k}", "w", 3) for k, (i, t) in enumerate(corpus)] + [(None, corpus[8][1], "mine", "z", "w", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _q string, _t string, _W string, score int")
+    judged = {r.doc_id: r.kept for r in weak_quality.judge(docs).collect()}
+    kept = weak_quality.keep_good(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if judged[r.doc_id])
+    marks = spark.createDataFrame([(k, 1) for k in range(5, 110)], "doc_id long, quality int")
+    predicted = {r.doc_id: r.predicted for r in pu_quality.classify(docs, marks).collect()}
+    good = pu_quality.keep_good(docs, marks)
+    assert good.columns == docs.columns and sorted(map(str, good.collect())) == sorted(str(r) for r in docs.collect() if predicted[r.doc_id])
+    assert weak_quality.keep_good(docs.limit(0)).count() == 0 == pu_quality.keep_good(docs.limit(0), marks).count()
+
+
+def test_expectation_maximisation_recovers_accuracies():
+    rng = np.random.default_rng(6)
+    good = rng.random(40_000) < 0.8
+    # How often each rule votes bad on bad and on good documents; the last votes good on bad and on good ones.
+    rates = [(0.7, 0.005), (0.6, 0.02), (0.6, 0.04), (0.5, 0.08), (0.15, 0.7)]
+    votes = np.array([(rng.random(len(good)) < np.where(good, on_good, on_bad)) * (-1 if k < 4 else 1) for k, (on_bad, on_good) in enumerate(rates)]).T
+    patterns = list(collections.Counter(map(tuple, votes.tolist())).items())
+    share, table = weak_quality.estimate(patterns, len(rates))
+    assert abs(share - 0.8) < 0.02
+    for j, (on_bad, on_good) in enumerate(rates):
+        vote = -1 if j < 4 else 1
+        assert abs(table[j][vote] - np.log(on_good / on_bad)) < 0.4 and abs(table[j][0] - np.log((1 - on_good) / (1 - on_bad))) < 0.1
+    belief = {v: 1 / (1 + np.exp(-(np.log(share / (1 - share)) + sum(table[j][x] for j, x in enumerate(v))))) for v, _ in patterns}
+    found = np.array([belief[tuple(v)] >= 0.5 for v in votes.tolist()])
+    assert (found == good).mean() > 0.96
+    assert weak_quality.estimate([], 2) == (weak_quality.PRIOR_GOOD, [{-1: 0.0, 0: 0.0, 1: 0.0}] * 2)
+
+
+def test_html_in_a_table(spark):
+    page = "<nav>m</nav><article><p>The text of it all.</p><p>Ends.</p></article>"
+    pages = spark.createDataFrame([(1, "u", page, 5), (2, None, None, 5), (None, "v", "", 5), (1, "u", page, 5)], "page_id long, url string, html string, n_chars int")
+    due = [(None, "v", "", 0), (1, "u", "The text of it all. Ends.", 25), (1, "u", "The text of it all. Ends.", 25), (2, None, "", 0)]
+    assert sorted(map(tuple, html_text.extract(pages).collect()), key=str) == sorted(due, key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_html_time_is_linear():
+    import time
+
+    began = time.time()
+    text = html_text.main_text("<div><article>" * 20_000 + "<p>word word word</p>" * 2_000)
+    assert text.count("word") == 6_000 and time.time() - began < 10
+
+
 def test_html():
     page = """<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><a href=x>Home</a></nav><div class="ad">Buy</div><article><h1>A &amp; B</h1>
     <p>One <b>two</b>three.<br><p>Long  text&nbsp;here<div class="comments"><p>Reader says</p></div><p>End.</p></article><footer>&copy; f</footer>"""
