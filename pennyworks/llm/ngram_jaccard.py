@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pennyworks.llm.common import by_size, drop_ids, materialize
+from pennyworks.llm.common import by_size, discard, drop_ids, materialize
 from pennyworks.llm.components import connected_components
 
 WORDS = 5
@@ -49,7 +49,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 #: Rows that a task holds as Python objects at a time, words whose hashes it remembers, and their length at most.
-ROWS_AT_ONCE, WORDS_REMEMBERED, WORD_BYTES = 256, 50_000, 64
+ROWS_AT_ONCE, WORDS_REMEMBERED, WORD_BYTES = 1_000, 150_000, 64
 
 
 class _WordHashes(dict):
@@ -173,7 +173,7 @@ class _Join:
     """The tables that both rounds of candidates are verified with."""
 
     def __init__(self, docs: DataFrame, profiles: DataFrame, tiles: DataFrame):
-        self.docs = docs
+        self.docs, self.used = docs, []
         members = tiles.select("sid").distinct()
         one = profiles.where("doc_id is not null and n > 0").select("sid", "n", "bits", "doc_id").join(members, "sid", "left_semi")
         self.meta = materialize(one.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "set-signatures")
@@ -193,19 +193,24 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([sid, hashes], names=["sid", "hashes"])
 
         texts = self.docs.join(by_size(wanted), "doc_id").select("sid", "text")
-        return materialize(texts.mapInArrow(run, "sid long, hashes array<long>"), "shingle-sets").dropDuplicates(["sid"])
+        sets = materialize(texts.mapInArrow(run, "sid long, hashes array<long>"), "shingle-sets")
+        self.used += [wanted, sets]
+        return sets if sets.count() <= wanted.count() else sets.dropDuplicates(["sid"])  # only a repeated doc_id gives a set twice
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs(a, b) that reach the threshold."""
+    def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs(a, b) that reach the threshold, as a written table."""
         m = self.meta
         a = m.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
         b = m.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
         sized = pairs.join(a, "a").join(b, "b").where(OF * F.least("na", "nb") >= NEED * F.greatest("na", "nb"))
         left = materialize(sized.select("a", "na", "bits_a", "b", "nb", "bits_b").mapInArrow(_may_pass, "a long, b long"), "likely-pairs")
+        self.used = [left]
         sets = self._sets(left)
         both = left.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
         shared = F.size(F.array_intersect("ha", "hb"))
-        return both.where((OF + NEED) * shared >= NEED * (F.size("ha") + F.size("hb"))).select("a", "b")
+        found = materialize(both.where((OF + NEED) * shared >= NEED * (F.size("ha") + F.size("hb"))).select("a", "b"), name)
+        discard(*self.used)
+        return found
 
 
 def _tile_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -290,15 +295,17 @@ def cluster(documents: DataFrame) -> DataFrame:
     roots, tried = None, None
     for k, mask in enumerate(LEADER_MASKS):
         if k:
-            tiles = materialize(_live(tiles, roots, mask), "tiles")
+            before, tiles = tiles, materialize(_live(tiles, roots, mask), "tiles")
+            discard(before)
         pairs = tiles.where("sid <> leader").select(pair.alias("p")).select("p.*").distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if k else pairs, "leader-pairs")
-        found = materialize(verify.links(pairs), "leader-links")
+        found = verify.links(pairs, "leader-links")
         tried = tried.unionByName(pairs) if k else pairs
         roots = connected_components(found if not k else _contracted(roots, found))
     live = materialize(_live(tiles, roots, 0).drop("leader").distinct(), "open-tiles")
+    discard(tiles)
     cross = materialize(_cross_pairs(live, verify.meta).join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    more = materialize(verify.links(cross), "cross-links")
+    more = verify.links(cross, "cross-links")
     if more.take(1):
         roots = connected_components(_contracted(roots, more))
 

@@ -1,10 +1,14 @@
 """SentencePiece encoding by the best path through the piece lattice, and decoding.
 
 A path's score is the sum of its pieces' scores. No piece has a blank after another character, so a text
-falls into independent parts before each run of blanks, whose best paths are kept by part. Giant documents are
-cut into chunks wherever they come: each chunk gives a max-plus matrix from the overhang of the piece
-that enters it to the overhang of the one that leaves it. The matrices combine associatively into the
-overhangs of the best path at each boundary, and every chunk is then backtraced on its own.
+falls into independent parts before each run of blanks. The parts of many rows that are not known yet are solved together,
+all parts of a length in one array. Of equally good paths the one whose last piece is longer is taken, from the end on.
+
+Documents longer than a chunk are cut wherever the chunk ends. Each chunk gives a max-plus matrix from the overhang of the
+piece that enters it to the overhang of the one that leaves it. The matrices combine associatively, in two levels: products of
+groups of chunks, then of the groups of a document, then the score of every overhang at each chunk's start. With these, each
+chunk tells which overhang it is entered by for each one that it is left by; these maps combine in the same two levels,
+and every chunk is then backtraced on its own. The ids are those of the text as a whole, wherever it is cut.
 
 Scores are whole numbers (of 2^-20), so that sums do not depend on how a text is cut.
 """
@@ -12,8 +16,8 @@ Scores are whole numbers (of 2^-20), so that sums do not depend on how a text is
 from __future__ import annotations
 
 import functools
+import itertools
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +31,10 @@ from pennyworks.llm.common import materialize
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK_CHARS = 200_000
-#: Rows whose ids a task holds as Python objects at a time.
-ROWS_AT_ONCE = 500
+#: Documents of more characters are scanned in chunks of so many, and so many chunks are a group.
+CHUNK_CHARS, GROUP_CHUNKS = 16_384, 64
+#: Rows whose ids a task holds at a time; parts that it remembers, and the longest of these and of those that are solved together.
+ROWS_AT_ONCE, PARTS_REMEMBERED, PART_CHARS = 500, 150_000, 40
 SCALE = 1 << 20
 UNKNOWN_PENALTY = 10
 NO_RANK = -1e6
@@ -38,78 +43,75 @@ NONE = np.iinfo(np.int64).min // 4
 _PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
-def _fields(message: bytes) -> Iterator[tuple[int, int, int]]:
-    """(field, start of its value, end) of a serialized message's fields that are varints, fixed or of given length."""
-    at = 0
-
-    def varint() -> int:
-        nonlocal at
-        value = shift = 0
-        while True:
-            byte = message[at]
-            value |= (byte & 127) << shift
-            at, shift = at + 1, shift + 7
-            if byte < 128:
-                return value
-
-    while at < len(message):
-        tag = varint()
-        start = at
-        if tag & 7 == 2:
-            size = varint()
-            start, at = at, at + size
-        elif tag & 7 == 0:
-            varint()
-        else:
-            at += 8 if tag & 7 == 1 else 4
-        yield tag >> 3, start, at
-
-
-def as_unigram(model: bytes) -> bytes:
-    """The same pieces, marked for encoding by best path (trainer_spec.model_type = UNIGRAM).
-
-    Pieces without a rank (scores below NO_RANK) come right after the last that has one, all alike.
-    """
-    out = bytearray(model)
-    scores: dict[int, float] = {}
-    for field, a, b in _fields(model):
-        if field == 1:
-            at = next((a + x for f, x, _ in _fields(model[a:b]) if f == 2), None)
-            if at is not None:
-                scores[at] = struct.unpack_from("<f", model, at)[0]
-        elif field == 2:
-            for f, x, _ in _fields(model[a:b]):
-                if f == 3:
-                    out[a + x] = 1
-    last = min((s for s in scores.values() if s > NO_RANK), default=0.0) - 1
-    for at, s in scores.items():
-        struct.pack_into("<f", out, at, s if s > NO_RANK else last)
-    return bytes(out)
+class _Table:
+    """Scores and ids of the pieces by a 64-bit hash of their characters, for arrays of hashes: each is in one of two places."""
+
+    BITS = 18
+    FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+    BASE = np.uint64(0x100000001B3)
+
+    def __init__(self, pieces: dict[str, tuple[int, int]]):
+        self.keys = np.zeros((2, 1 << self.BITS), np.uint64)
+        self.value = np.full((2, 1 << self.BITS), -1, np.int64)
+        self.ids = np.array([i for i, _ in pieces.values()], np.int64)
+        self.scores = np.array([s for _, s in pieces.values()], np.int64)
+        hashes = np.array([self.hash_of(p) for p in pieces], np.uint64)
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have one hash")
+        for n, h in enumerate(hashes):
+            side, value = 0, n
+            for _ in range(500):
+                at = self._place(h, side)
+                self.keys[side, at], h, self.value[side, at], value = h, self.keys[side, at], value, self.value[side, at]
+                if value < 0:
+                    break
+                side ^= 1
+            else:
+                raise ValueError("the table of pieces is too small")
+
+    def _place(self, h: np.ndarray, side: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h * self.FACTORS[side]) >> np.uint64(64 - self.BITS)
+
+    def hash_of(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.BASE) + ord(c) + 1) % (1 << 64)
+        return h
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        for side in range(2):
+            at = self._place(h, side)
+            hit = self.keys[side, at] == h
+            out[hit] = self.value[side, at][hit]
+        return out
 
 
 class Lattice:
-    """Pieces of a model with their scores; an unknown character costs more than any piece and becomes its bytes."""
+    """Pieces of a model with their scores; an unknown character costs more than any piece and becomes its bytes.
+
+    Pieces without a rank (scores below NO_RANK) come right after the last that has one, all alike.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
 
-        with open(path, "rb") as file:
-            sp = sentencepiece.SentencePieceProcessor(model_proto=as_unigram(file.read()))
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)  # for the pieces and their scores only
         ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.pieces = {sp.id_to_piece(i): (i, round(sp.get_score(i) * SCALE)) for i in ids}
+        raw = {i: sp.get_score(i) for i in ids}
+        last = min((x for x in raw.values() if x > NO_RANK), default=0.0) - 1
+        self.pieces = {sp.id_to_piece(i): (i, round((x if x > NO_RANK else last) * SCALE)) for i, x in raw.items()}
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
             raise ValueError("pieces with a blank after another character are not supported")
         self.names = {i: p.encode() for p, (i, _) in self.pieces.items()}
-        for b in range(256):
-            self.names[sp.piece_to_id(f"<0x{b:02X}>")] = bytes([b])
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.names |= {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY * SCALE
         self.longest = max(map(len, self.pieces))
-        self.best: dict[str, tuple[int, tuple[int, ...]]] = {}
-        # The library's own best path in single precision is exact for whole scores and words as bounded below.
-        self.library = sp if all(s % SCALE == 0 for _, s in self.pieces.values()) else None
-        self.characters = frozenset(p for p in self.pieces if len(p) == 1) | set("\n\t\r")
-        self.parts_of: dict[str, tuple[int, ...]] = {}
+        self.table = _Table(self.pieces)
+        self.known: dict[str, tuple[int, tuple[int, ...]]] = {}
 
     def options(self, text: str, at: int) -> Iterator[tuple[int, int]]:
         """(length, score) of what can start at a place of text."""
@@ -123,50 +125,105 @@ class Lattice:
         known = self.pieces.get(piece)
         return (known[0],) if known else tuple(self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass"))
 
-    def path(self, text: str) -> tuple[int, tuple[int, ...]]:
-        """Score and ids of the best path; of equal ones, that with the longer piece at the end."""
-        if found := self.best.get(text):
-            return found
-        n = len(text)
-        score, back = [NONE] * (n + 1), [0] * (n + 1)
-        score[0] = 0
+    def _forward(self, text: str, n: int, entry: list[int]) -> tuple[list[int], list[int]]:
+        """Best score at each place of text, and where its last piece starts (-1: outside), for pieces that start before n.
+
+        entry[i] is the score of a path from outside that ends at place i.
+        """
+        score, back = [NONE] * (len(text) + 1), [-1] * (len(text) + 1)
+        score[: len(entry)] = entry[: len(text) + 1]
         for at in range(n):
             here = score[at]
-            for length, s in self.options(text, at):
-                if here + s > score[at + length]:
-                    score[at + length], back[at + length] = here + s, at
-        ids: list[tuple[int, ...]] = []
-        end = n
-        while end:
-            ids.append(self.ids(text[back[end] : end]))
+            if here > NONE // 2:
+                for length, s in self.options(text, at):
+                    if here + s > score[at + length]:
+                        score[at + length], back[at + length] = here + s, at
+        return score, back
+
+    def _trace(self, text: str, back: list[int], end: int) -> tuple[list[int], int]:
+        """Ids of the path that ends at a place, and where it came in."""
+        parts = []
+        while back[end] >= 0:
+            parts.append(self.ids(text[back[end] : end]))
             end = back[end]
-        found = score[n], tuple(i for part in reversed(ids) for i in part)
-        if n < 64:
-            if len(self.best) > 250_000:
-                self.best.clear()
-            self.best[text] = found
-        return found
-
-    def _plain(self, part: str) -> bool:
-        return part[0] == BLANK and 1 < len(part) <= 48 and part[1] != BLANK and self.characters.issuperset(part)
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of text in which blanks are already BLANK."""
-        parts, known = _PARTS.findall(text), self.parts_of
-        fresh = [p for p in set(parts) if p not in known] if self.library else []
-        if fresh:
-            if len(known) > 250_000:
-                known.clear()
-                fresh = list(set(parts))
-            plain = [p for p in fresh if self._plain(p)]
-            known.update(zip(plain, map(tuple, self.library.encode([p[1:] for p in plain], num_threads=1)), strict=True))
-        out: list[int] = []
-        for part in parts:
-            out += known.get(part) or self.path(part)[1]
+        return [i for part in reversed(parts) for i in part], end
+
+    def path(self, text: str) -> tuple[int, tuple[int, ...]]:
+        """Score and ids of the best path through a text, place by place."""
+        score, back = self._forward(text, len(text), [0])
+        return score[-1], tuple(self._trace(text, back, len(text))[0])
+
+    def _together(self, parts: list[str]) -> list[tuple[int, tuple[int, ...]]]:
+        """As path, for parts of one length."""
+        n, size = len(parts), len(parts[0])
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).T.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            base = self.table.BASE
+            power = [np.uint64(1)]
+            prefix = [np.zeros(n, np.uint64)]
+            for k in range(size):
+                power.append(power[-1] * base)
+                prefix.append(prefix[-1] * base + codes[k] + np.uint64(1))
+            score = np.full((size + 1, n), NONE, np.int64)
+            score[0] = 0
+            length, piece = np.zeros((size + 1, n), np.int64), np.full((size + 1, n), -1, np.int64)
+            for end in range(1, size + 1):
+                for k in range(min(end, self.longest), 0, -1):
+                    found = self.table.find(prefix[end] - prefix[end - k] * power[k])
+                    if k > 1 and not (found >= 0).any():
+                        continue
+                    s = np.where(found >= 0, self.table.scores[found], self.unknown if k == 1 else NONE)
+                    total = score[end - k] + s
+                    better = total > score[end]
+                    score[end][better], length[end][better], piece[end][better] = total[better], k, found[better]
+        at, lanes = np.full(n, size), np.arange(n)
+        steps = []
+        while (at > 0).any():
+            steps.append(np.where(at > 0, np.where(piece[at, lanes] >= 0, self.table.ids[piece[at, lanes]], -1), -2))
+            at = at - np.where(at > 0, length[at, lanes], 0)
+        ids = np.array(steps[::-1]).T
+        unknown = (ids == -1).any(axis=1)
+        return [self.path(p) if u else (int(x), tuple(row[row >= 0].tolist())) for p, u, x, row in zip(parts, unknown, score[size], ids, strict=True)]
+
+    def solve(self, parts: set[str]) -> dict[str, tuple[int, tuple[int, ...]]]:
+        """Score and ids of the best path through each part."""
+        known = self.known
+        out = {p: known[p] for p in parts if p in known}
+        fresh: dict[int, list[str]] = {}
+        for p in parts - out.keys():
+            fresh.setdefault(len(p), []).append(p)
+        if len(known) + sum(map(len, fresh.values())) > PARTS_REMEMBERED:
+            known.clear()
+        for size, own in fresh.items():
+            if size > PART_CHARS:
+                out.update((p, self.path(p)) for p in own)
+                continue
+            for at in range(0, len(own), 4_096):
+                found = dict(zip(own[at : at + 4_096], self._together(own[at : at + 4_096]), strict=True))
+                out |= found
+                if len(known) + len(found) <= PARTS_REMEMBERED:
+                    known |= found
         return out
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has. Blanks are already BLANK."""
+        parts = [_PARTS.findall(t) for t in texts]
+        solved = self.solve(set(itertools.chain.from_iterable(parts)))
+        place = dict(zip(solved, range(len(solved)), strict=True))
+        sizes = np.array([len(ids) for _, ids in solved.values()] or [0], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(ids for _, ids in solved.values()), np.int32, int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        counts = np.array([len(p) for p in parts], np.int64)
+        at = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        own = sizes[at] if len(at) else np.zeros(0, np.int64)
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.arange(total) + np.repeat(starts[at] - (ends - own), own)] if total else np.zeros(0, np.int32)
+        upto = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return ids, np.diff(upto, prepend=0)
+
     def _cuts(self, body: str) -> tuple[int, int]:
-        """First and last place in body at which every path has a boundary; equal if there are fewer than two."""
+        """First and last place in body at which every path has a boundary; equal if there is one, (0, 0) if none."""
         first = re.search(f"[^{BLANK}]{BLANK}", body)
         if not first:
             return 0, 0
@@ -178,9 +235,8 @@ class Lattice:
     def _spread(self, text: str, n: int, starts: int) -> np.ndarray:
         """Best scores from each of the first `starts` places of text to each place from n on."""
         d = np.full((n + self.longest, starts), NONE, np.int64)
-        for i in range(starts):
-            if i < len(d):
-                d[i, i] = 0
+        for i in range(min(starts, len(d))):
+            d[i, i] = 0
         for at in range(n):
             if (d[at] > NONE // 2).any():
                 for length, s in self.options(text, at):
@@ -190,16 +246,36 @@ class Lattice:
     def transfer(self, body: str, ahead: str) -> np.ndarray:
         """Max-plus matrix of a chunk: best score by the overhang into it and the overhang out of it."""
         a, b = self._cuts(body)
-        if b <= a or a < self.longest:
+        if not a:
             return self._spread(body + ahead, len(body), self.longest)
-        middle = sum(self.path(part)[0] for part in _PARTS.findall(body[a:b]))
-        into = self._spread(body[:a], a, self.longest)[:, 0]
+        parts = _PARTS.findall(body[a:b])
+        solved = self.solve(set(parts))
+        middle = sum(solved[p][0] for p in parts)
+        into = self._spread(body[:a], a, self.longest)[:, 0]  # no piece reaches over the cut
         out = self._spread(body[b:] + ahead, len(body) - b, 1)[0]
         return np.maximum(into[:, None] + out[None] + middle, NONE)
 
-    def backtrace(self, body: str, ahead: str, into: int, out: int) -> list[int]:
-        """Ids of the pieces that start in the chunk on the best path between the two overhangs."""
-        return self.encode(body[into:] + ahead[:out])
+    def entered(self, body: str, ahead: str, entry: list[int]) -> list[int]:
+        """For each overhang out of the chunk, the one into it on the best path, or -1. entry: scores of the overhangs into it."""
+        a, _ = self._cuts(body)
+        if a:
+            _, back = self._forward(body[:a], a, entry)
+            return [self._trace(body[:a], back, a)[1]] * self.longest
+        score, back = self._forward(body + ahead, len(body), entry)
+        ends = range(len(body), len(body) + self.longest)
+        return [self._trace(body + ahead, back, e)[1] if e < len(score) and score[e] > NONE // 2 else -1 for e in ends]
+
+    def backtrace(self, body: str, ahead: str, entry: list[int], out: int) -> list[int]:
+        """Ids of the pieces that start in the chunk on the best path that leaves it with an overhang."""
+        a, b = self._cuts(body)
+        if not a:
+            _, back = self._forward(body + ahead, len(body), entry)
+            return self._trace(body + ahead, back, len(body) + out)[0]
+        _, back = self._forward(body[:a], a, entry)
+        head = self._trace(body[:a], back, a)[0]
+        rest = body[b:] + ahead
+        _, back = self._forward(rest, len(body) - b, [0])
+        return [*head, *self.encode([body[a:b]])[0].tolist(), *self._trace(rest, back, len(body) - b + out)[0]]
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,24 +309,68 @@ def decode_ids(ids: list[int], path: str | None = None) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _boundaries(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Overhangs of a document's best path into and out of each of its chunks. A string has at most 2^31 bytes,
-    so these are at most some ten thousand matrices of a few KB."""
+def _matrix(raw: bytes) -> np.ndarray:
+    size = int((len(raw) // 8) ** 0.5)
+    return np.frombuffer(raw, np.int64).reshape(size, size)
+
+
+def _product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The matrix of a group of chunks."""
+    pdf = pdf.sort_values("k")
+    whole = functools.reduce(combine, map(_matrix, pdf["matrix"]))
+    return pd.DataFrame({"row": pdf["row"].iloc[:1], "g": pdf["g"].iloc[:1], "matrix": [whole.tobytes()]})
+
+
+def _entries(raw: pd.Series, start: np.ndarray) -> list[bytes]:
+    """Scores of the overhangs before each of some matrices in order."""
+    out = []
+    for m in map(_matrix, raw):
+        out.append(start.tobytes())
+        start = combine(start[None], m)[0]
+    return out
+
+
+def _group_entries(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Scores of the overhangs before each group of a document. A string has at most 2^31 bytes, so there are some 2,000 groups at most."""
+    pdf = pdf.sort_values("g")
+    size = len(_matrix(pdf["matrix"].iloc[0]))
+    return pd.DataFrame({"row": pdf["row"], "g": pdf["g"], "entry": _entries(pdf["matrix"], np.where(np.arange(size) == 0, 0, NONE))})
+
+
+def _chunk_entries(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("k")
-    size = int(len(pdf["matrix"].iloc[0]) ** 0.5 / 8**0.5)
-    matrices = [np.frombuffer(m, np.int64).reshape(size, size) for m in pdf["matrix"]]
-    states = [np.where(np.arange(size) == 0, 0, NONE)]
-    for m in matrices:
-        states.append(combine(states[-1][None], m)[0])
-    out, rows = 0, []
-    for k in range(len(matrices) - 1, -1, -1):
-        into = int((states[k] + matrices[k][:, out]).argmax())
-        rows.append((pdf["row"].iloc[0], pdf["k"].iloc[k], into, out))
-        out = into
-    return pd.DataFrame(rows, columns=["row", "k", "into", "out"])
-
-
-def _giants(docs: DataFrame, chunk: int, path: str | None) -> DataFrame:
+    return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "entry": _entries(pdf["matrix"], np.frombuffer(pdf["start"].iloc[0], np.int64))})
+
+
+def _map_product(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The overhang into a group for each one out of it."""
+    pdf = pdf.sort_values("k", ascending=False)
+    whole = np.arange(len(pdf["into"].iloc[0]))
+    for m in pdf["into"]:
+        whole = np.where(whole >= 0, np.asarray(m)[whole], -1)
+    return pd.DataFrame({"row": pdf["row"].iloc[:1], "g": pdf["g"].iloc[:1], "into": [whole.tolist()]})
+
+
+def _outs(maps: pd.Series, out: int) -> list[int]:
+    """The overhang out of each of some maps, the last first."""
+    found = []
+    for m in maps:
+        found.append(out)
+        out = int(m[out])
+    return found
+
+
+def _group_outs(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("g", ascending=False)
+    return pd.DataFrame({"row": pdf["row"], "g": pdf["g"], "out": _outs(pdf["into"], 0)})
+
+
+def _chunk_outs(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("k", ascending=False)
+    return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "out": _outs(pdf["into"], int(pdf["out"].iloc[0]))})
+
+
+def _giants(docs: DataFrame, chunk: int, path: str | None, group: int) -> DataFrame:
     """(doc_id, text, ids) of long documents, chunk by chunk."""
     docs = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "giant-documents")
 
@@ -264,44 +384,66 @@ def _giants(docs: DataFrame, chunk: int, path: str | None) -> DataFrame:
                     columns = [pa.array([row]), pa.array([k], pa.int32()), pa.array([text[at:end]]), pa.array([text[end : end + ahead]])]
                     yield pa.RecordBatch.from_arrays(columns, names=["row", "k", "body", "ahead"])
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [lattice(path).transfer(b, a).tobytes() for b, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["row", "k", "matrix"])
+    def each(f, kind: pa.DataType, name: str, *columns: int):
+        """row, k and f of the columns; a few rows at a time."""
 
-    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [lattice(path).backtrace(*x) for x in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["row", "k", "ids"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    found = [f(*x) for x in zip(*(part.column(c).to_pylist() for c in columns), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], names=["row", "k", name])
+
+        return run
+
+    scores = lambda raw: np.frombuffer(raw, np.int64).tolist()
+    weigh = each(lambda b, a: lattice(path).transfer(b, a).tobytes(), pa.binary(), "matrix", 2, 3)
+    enter = each(lambda b, a, e: lattice(path).entered(b, a, scores(e)), pa.list_(pa.int32()), "into", 2, 3, 4)
+    trace = each(lambda b, a, e, o: lattice(path).backtrace(b, a, scores(e), o), pa.list_(pa.int32()), "ids", 2, 3, 4, 5)
+    g = F.floor(F.col("k") / group).cast("int").alias("g")
 
     chunks = docs.select("row", "text").mapInArrow(cut, "row long, k int, body string, ahead string")
     chunks = materialize(chunks.repartition(F.xxhash64("row", "k")), "chunks")
-    states = chunks.mapInArrow(weigh, "row long, k int, matrix binary").groupBy("row").applyInPandas(_boundaries, "row long, k int, into int, out int")
-    traced = chunks.join(states, ["row", "k"]).select("row", "k", "body", "ahead", "into", "out").mapInArrow(trace, "row long, k int, ids array<int>")
+    matrices = materialize(chunks.mapInArrow(weigh, "row long, k int, matrix binary").select("*", g), "matrices")
+    products = matrices.groupBy("row", "g").applyInPandas(_product, "row long, g int, matrix binary")
+    starts = products.groupBy("row").applyInPandas(_group_entries, "row long, g int, entry binary").withColumnRenamed("entry", "start")
+    entries = matrices.join(starts, ["row", "g"]).groupBy("row", "g").applyInPandas(_chunk_entries, "row long, k int, entry binary")
+    entered = materialize(chunks.join(entries, ["row", "k"]).select("row", "k", "body", "ahead", "entry"), "entered-chunks")
+    maps = materialize(entered.mapInArrow(enter, "row long, k int, into array<int>").select("*", g), "chunk-maps")
+    group_maps = maps.groupBy("row", "g").applyInPandas(_map_product, "row long, g int, into array<int>")
+    ends = group_maps.groupBy("row").applyInPandas(_group_outs, "row long, g int, out int")
+    outs = maps.join(ends, ["row", "g"]).groupBy("row", "g").applyInPandas(_chunk_outs, "row long, k int, out int")
+    traced = entered.join(outs, ["row", "k"]).select("row", "k", "body", "ahead", "entry", "out").mapInArrow(trace, "row long, k int, ids array<int>")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return docs.join(whole, "row").select("doc_id", "text", "ids")
 
 
-def encode(documents: DataFrame, chunk_chars: int = CHUNK_CHARS, path: str | None = None) -> DataFrame:
+def encode(documents: DataFrame, chunk_chars: int = CHUNK_CHARS, path: str | None = None, group_chunks: int = GROUP_CHUNKS) -> DataFrame:
     """(doc_id, text, ids array<int>) for every row of documents(doc_id, text).
 
     A null or empty text has no ids. Nulls in doc_id pass through, repeated rows come back as often as they
-    came, an empty table gives an empty result, other columns are not looked at.
+    came, an empty table gives an empty result, other columns are not looked at. Very long texts are scanned in chunks; the ids
+    do not depend on their size. Ties between paths go to the longer last piece.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found = [np.array(lattice(path).encode(escape(t.as_py() or "")), np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
+            ids, sizes = lattice(path).encode([escape(t.as_py() or "") for t in batch.column(1)])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["doc_id", "text", "ids"])
 
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
     short = docs.where(~long).mapInArrow(run, "doc_id long, text string, ids array<int>")
-    return short.unionByName(_giants(docs.where(long), chunk_chars, path)) if docs.where(long).take(1) else short
+    return short.unionByName(_giants(docs.where(long), chunk_chars, path, group_chunks)) if docs.where(long).take(1) else short
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded(ids, ...) with `decoded` text and `ids_crc32` of the little-endian unsigned 32-bit ids."""
+    """encoded(ids, ...) with `decoded` text and `ids_crc32` of the little-endian unsigned 32-bit ids.
+
+    Null or no ids decode to an empty text; a blank sign of the text's own comes back as a space, since the model has no
+    other spelling for it. Other columns stay, repeated rows come back as often as they came, an empty table gives an empty result.
+    """
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

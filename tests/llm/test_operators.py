@@ -172,17 +172,31 @@ def test_best_fit_keeps_every_capacity(rule, max_docs, max_cost):
     assert len(np.unique(packing.best_fit(tens, 100, 5, 200, rule=rule)[0])) == 6
 
 
-def test_sentencepiece_round_trip_and_chunks(spark, corpus):
-    rows = [*corpus, (300, "x" * 999 + "éß漢" * 99), (301, " lead  two\n\n tail ")]
-    whole = {(r.doc_id, r.text): r for r in sentencepiece_scan.decode(sentencepiece_scan.encode(documents(spark, rows))).collect()}
-    cut = {(r.doc_id, r.text): r for r in sentencepiece_scan.decode(sentencepiece_scan.encode(documents(spark, rows), chunk_chars=100)).collect()}
-    assert whole.keys() == cut.keys() == set(rows)
+def test_sentencepiece_ids_do_not_depend_on_chunks(spark, corpus):
+    """Every chunk size gives the ids of the whole text's best path, found place by place."""
+    rows = [*corpus[::7], (None, "x y"), (300, "x" * 999 + "éß漢" * 99), (301, " lead  two\n\n tail "), (302, "aaaa" * 200), (303, "   " * 50 + "a" + " " * 70), (304, "漢"), (305, "the" * 300 + " end")]
     lattice = sentencepiece_scan.lattice()
-    scores = {i: s for i, s in lattice.pieces.values()}
-    for key, r in whole.items():
-        assert r.decoded == (key[1] or "") == cut[key].decoded
-        assert sum(scores.get(i, 0) for i in r.ids) == sum(scores.get(i, 0) for i in cut[key].ids)
-        assert r.ids == [i for part in sentencepiece_scan._PARTS.findall(sentencepiece_scan.escape(key[1] or "")) for i in lattice.path(part)[1]]
+    due = sorted((str(i), t or "", lattice.path(sentencepiece_scan.escape(t or ""))[1] if t else ()) for i, t in rows)
+    for chunk, group in ((10_000, 64), (300, 64), (100, 2), (41, 3), (17, 1)):
+        found = sentencepiece_scan.decode(sentencepiece_scan.encode(documents(spark, rows), chunk_chars=chunk, group_chunks=group)).collect()
+        assert sorted((str(r.doc_id), r.text or "", tuple(r.ids)) for r in found) == due
+        assert all(r.decoded == (r.text or "") for r in found)
+    assert sentencepiece_scan.decode(sentencepiece_scan.encode(documents(spark, []))).count() == 0
+
+
+def test_sentencepiece_path_is_the_best():
+    """Against all ways to split short texts."""
+    lattice = sentencepiece_scan.lattice()
+
+    def ways(text):
+        if not text:
+            yield 0
+        for length, s in lattice.options(text, 0) if text else ():
+            for rest in ways(text[length:]):
+                yield s + rest
+
+    for word in ("▁thinking", "▁aaaa", "ß漢x", "▁▁▁no", "▁1234", "hello"):
+        assert lattice.path(word)[0] == max(ways(word)) and lattice.solve({word})[word] == lattice.path(word)
 
 
 def test_max_plus_product_is_associative():
