@@ -52,17 +52,20 @@ class _Table:
 
     def __init__(self, pieces: dict[str, tuple[int, int]]):
         self.keys = np.zeros((2, 1 << self.BITS), np.uint64)
-        self.value = np.full((2, 1 << self.BITS), -1, np.int64)
-        self.ids = np.array([i for i, _ in pieces.values()], np.int64)
-        self.scores = np.array([s for _, s in pieces.values()], np.int64)
+        self.value = np.full((2, 1 << self.BITS), -1, np.int32)
+        # The last entry, at -1, is that of no piece: an unknown character.
+        self.ids = np.array([*(i for i, _ in pieces.values()), -1], np.int64)
+        self.scores = np.array([*(s for _, s in pieces.values()), NONE], np.int64)
+        self.lengths = np.array([*map(len, pieces), 1], np.int64)
         hashes = np.array([self.hash_of(p) for p in pieces], np.uint64)
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces have one hash")
-        for n, h in enumerate(hashes):
+        places = np.array([self._place(hashes, side) for side in range(2)])
+        for n in range(len(hashes)):
             side, value = 0, n
             for _ in range(500):
-                at = self._place(h, side)
-                self.keys[side, at], h, self.value[side, at], value = h, self.keys[side, at], value, self.value[side, at]
+                h, at = hashes[value], places[side, value]
+                self.keys[side, at], self.value[side, at], value = h, value, self.value[side, at]
                 if value < 0:
                     break
                 side ^= 1
@@ -70,8 +73,7 @@ class _Table:
                 raise ValueError("the table of pieces is too small")
 
     def _place(self, h: np.ndarray, side: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (h * self.FACTORS[side]) >> np.uint64(64 - self.BITS)
+        return ((h * self.FACTORS[side]) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     def hash_of(self, piece: str) -> int:
         h = 0
@@ -81,11 +83,9 @@ class _Table:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these hashes, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        for side in range(2):
-            at = self._place(h, side)
-            hit = self.keys[side, at] == h
-            out[hit] = self.value[side, at][hit]
+        first, second = self._place(h, 0), self._place(h, 1)
+        out = np.where(self.keys[1].take(second) == h, self.value[1].take(second), np.int32(-1))
+        np.copyto(out, self.value[0].take(first), where=self.keys[0].take(first) == h)
         return out
 
 
@@ -166,24 +166,32 @@ class Lattice:
                 prefix.append(prefix[-1] * base + codes[k] + np.uint64(1))
             score = np.full((size + 1, n), NONE, np.int64)
             score[0] = 0
-            length, piece = np.zeros((size + 1, n), np.int64), np.full((size + 1, n), -1, np.int64)
+            piece = np.full((size + 1, n), -1, np.int32)
             for end in range(1, size + 1):
                 for k in range(min(end, self.longest), 0, -1):
                     found = self.table.find(prefix[end] - prefix[end - k] * power[k])
-                    if k > 1 and not (found >= 0).any():
-                        continue
-                    s = np.where(found >= 0, self.table.scores[found], self.unknown if k == 1 else NONE)
-                    total = score[end - k] + s
+                    total = score[end - k] + self.table.scores[found]  # the last score is that of no piece
+                    if k == 1:
+                        total[found < 0] = score[end - 1][found < 0] + self.unknown
                     better = total > score[end]
-                    score[end][better], length[end][better], piece[end][better] = total[better], k, found[better]
+                    np.copyto(score[end], total, where=better)
+                    np.copyto(piece[end], found, where=better)
         at, lanes = np.full(n, size), np.arange(n)
         steps = []
         while (at > 0).any():
-            steps.append(np.where(at > 0, np.where(piece[at, lanes] >= 0, self.table.ids[piece[at, lanes]], -1), -2))
-            at = at - np.where(at > 0, length[at, lanes], 0)
+            last = piece[at, lanes]
+            steps.append(np.where(at > 0, self.table.ids[last], -2))
+            at = np.maximum(0, at - self.table.lengths[last])
         ids = np.array(steps[::-1]).T
-        unknown = (ids == -1).any(axis=1)
-        return [self.path(p) if u else (int(x), tuple(row[row >= 0].tolist())) for p, u, x, row in zip(parts, unknown, score[size], ids, strict=True)]
+        out = [(x, tuple(i for i in row if i >= 0)) for x, row in zip(score[size].tolist(), ids.tolist(), strict=True)]
+        for lane in np.flatnonzero((ids == -1).any(axis=1)).tolist():  # with the bytes of unknown characters
+            end, parts_of = size, []
+            while end:
+                k = int(self.table.lengths[piece[end, lane]])
+                parts_of.append(self.ids(parts[lane][end - k : end]))
+                end -= k
+            out[lane] = (out[lane][0], tuple(i for p in reversed(parts_of) for i in p))
+        return out
 
     def solve(self, parts: set[str]) -> dict[str, tuple[int, tuple[int, ...]]]:
         """Score and ids of the best path through each part."""
