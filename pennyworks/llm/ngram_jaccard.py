@@ -49,7 +49,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
 #: Rows that a task holds as Python objects at a time, words whose hashes it remembers, and their length at most.
-ROWS_AT_ONCE, WORDS_REMEMBERED, WORD_BYTES = 1_000, 150_000, 64
+ROWS_AT_ONCE, WORDS_REMEMBERED, WORD_BYTES = 256, 150_000, 64
 
 
 class _WordHashes(dict):
