@@ -46,13 +46,13 @@ def match(events: DataFrame, order: list[str]) -> DataFrame:
     lots = run.where("quantity > 0").select("commodity", F.col("A").alias("at"), F.struct("date", *dict.fromkeys([*order, "quantity", "value"])).alias("lot"), F.lit(None).alias("sale"))
     sales = run.where("quantity < 0").select("commodity", F.col("D").alias("at"), F.lit(None).alias("lot"), F.struct("date", *dict.fromkeys([*order, "quantity", "value"])).alias("sale"))
     marks = lots.unionByName(sales).groupBy("commodity", "at").agg(F.max("lot").alias("lot"), F.min("sale").alias("sale"))
-    w = Window.partitionBy("commodity").orderBy("at")
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy("commodity").orderBy(F.desc("at"))  # from the end, so that each frame only grows
+    so_far = back.rowsBetween(Window.unboundedPreceding, 0)
     cut = marks.select(
         "commodity",
-        (F.col("at") - F.coalesce(F.lag("at").over(w), F.lit(0.0))).alias("taken"),
-        F.first("lot", ignorenulls=True).over(ahead).alias("lot"),
-        F.first("sale", ignorenulls=True).over(ahead).alias("sale"),
+        (F.col("at") - F.coalesce(F.lead("at").over(back), F.lit(0.0))).alias("taken"),
+        F.last("lot", ignorenulls=True).over(so_far).alias("lot"),
+        F.last("sale", ignorenulls=True).over(so_far).alias("sale"),
     )
     return cut.where("lot is not null and sale is not null").where(F.col("taken") > EPSILON)
 

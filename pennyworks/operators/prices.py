@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 def as_of(requests: DataFrame, prices: DataFrame, commodity: str, at: str, into: str, first_if_none: bool = False) -> DataFrame:
     """requests with a struct column `into` (price, quote): the last price of the commodity not after `at`, or null.
 
-    Prices are first reduced to intervals [date, next date), so that the join is an equality on commodity
-    and year-month with a range on top, never a window over all requests of a commodity.
+    Distinct requests meet the prices of their own month; where none of these is early enough, they take the last one of the
+    months before, which is found among one row a commodity and month. Joins are equalities on commodity and month.
     """
-    w = Window.partitionBy("commodity").orderBy("date")
-    spans = prices.groupBy("commodity", "date").agg(F.max(F.struct("price", "quote")).alias("p"))
-    spans = spans.select("commodity", "date", "p", F.lead("date").over(w).alias("until"), F.row_number().over(w).alias("k"))
-    lower = F.when(F.col("k") == 1, F.lit("")).otherwise(F.col("date")) if first_if_none else F.col("date")
-    spans = spans.select(F.col("commodity").alias("_c"), lower.alias("_from"), F.coalesce("until", F.lit("9999")).alias("_until"), F.col("p").alias(into))
-    wanted = requests.where(F.col(commodity).isNotNull()).select(F.col(commodity).alias("_c"), F.col(at).alias("_at")).distinct()
-    found = wanted.join(spans, "_c").where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_until"))).select("_c", "_at", into)
+    month = lambda c: F.substring(c, 1, 7)
+    quotes = prices.groupBy("commodity", "date").agg(F.max(F.struct("price", "quote")).alias("p"))
+    quotes = quotes.select(F.col("commodity").alias("_c"), month("date").alias("_m"), F.col("date").alias("_d"), "p")
+    wanted = requests.where(F.col(commodity).isNotNull() & F.col(at).isNotNull()).select(F.col(commodity).alias("_c"), F.col(at).alias("_at")).distinct().withColumn("_m", month("_at"))
+    last = quotes.groupBy("_c", "_m").agg(F.max_by("p", "_d").alias("p"), F.min_by("p", "_d").alias("first"))
+    months = wanted.select("_c", "_m").distinct().join(last, ["_c", "_m"], "full")
+    before = Window.partitionBy("_c").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    ever = Window.partitionBy("_c").orderBy("_m").rowsBetween(0, Window.unboundedFollowing)
+    months = months.select("_c", "_m", F.last("p", ignorenulls=True).over(before).alias("carried"), *([F.first("first", ignorenulls=True).over(ever).alias("next")] if first_if_none else []))
+    near = wanted.join(quotes, ["_c", "_m"]).where(F.col("_d") <= F.col("_at")).groupBy("_c", "_m", "_at").agg(F.max_by("p", "_d").alias("own"))
+    found = wanted.join(near, ["_c", "_m", "_at"], "left").join(months, ["_c", "_m"])
+    found = found.select("_c", "_at", F.coalesce("own", "carried", *(["next"] if first_if_none else [])).alias(into))
     return requests.join(found, (F.col(commodity) == F.col("_c")) & (F.col(at) == F.col("_at")), "left").drop("_c", "_at")
 
 
