@@ -57,3 +57,11 @@ def meta_value(meta: Column, key: str) -> Column:
 
 def in_scope(account: Column, prefix: str) -> Column:
     return (account == prefix) | account.startswith(prefix + ":")
+
+
+def allowed(account: Column, exact: list[str], prefixes: list[str]) -> Column:
+    """Whether an account is one of some or below one of others; blanks count as none."""
+    found = account.isin([x for x in exact if x.strip()]) if any(x.strip() for x in exact) else F.lit(False)
+    for p in (x for x in prefixes if x.strip()):
+        found = found | in_scope(account, p)
+    return found

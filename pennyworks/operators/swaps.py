@@ -49,3 +49,8 @@ def self_transfer(text: Column, accounts: list[str]) -> Column:
     names = [(a, a.rsplit(":", 1)[-1].lower()) for a in accounts]
     fits = [F.when(low.contains(name), F.lit(account)) for account, name in names if len(name) >= 4]
     return F.coalesce(*fits) if fits else F.lit(None).cast("string")
+
+
+def blank_leg(known: Column) -> Column:
+    """The amount of an entry's one blank leg: what its known amounts, an array, leave open."""
+    return -F.aggregate(known, F.lit(0.0), lambda a, x: a + x)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pennyworks.functions import search
 from pennyworks.functions.patterns import wildcard_regex
 from pennyworks.operators import files, lots, prices, reports, swaps
-from pennyworks.plans import catalog, report_queries
+from pennyworks.plans import catalog, ledger_queries, report_queries
 from pennyworks.plans.ledger import TABLES
 from pennyworks.sources import ledger_text, ofx
 from pennyworks.streaming import ingest
 
-assert report_queries
+assert report_queries and ledger_queries
 SF = "/root/testdata/sf0.001"
 
 
