@@ -32,9 +32,11 @@ from pennyworks.llm.common import materialize
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 #: Documents of more characters are scanned in chunks of so many, and so many chunks are a group.
-CHUNK_CHARS, GROUP_CHUNKS = 16_384, 64
-#: Rows whose ids a task holds at a time; parts that it remembers, and the longest of these and of those that are solved together.
-ROWS_AT_ONCE, PARTS_REMEMBERED, PART_CHARS = 500, 150_000, 40
+CHUNK_CHARS, GROUP_CHUNKS = 65_536, 64
+#: Rows whose ids a task holds at a time, and the longest parts that are solved together.
+ROWS_AT_ONCE, PART_CHARS = 1_000, 40
+#: Fewer parts of one length are solved one by one, place by place.
+FEW = 24
 SCALE = 1 << 20
 UNKNOWN_PENALTY = 10
 NO_RANK = -1e6
@@ -44,15 +46,12 @@ _PARTS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 class _Table:
-    """Scores and ids of the pieces by a 64-bit hash of their characters, for arrays of hashes: each is in one of two places."""
+    """Scores and ids of the pieces by a 64-bit hash of their characters, for arrays of hashes: each is in its slot, or among the few others."""
 
-    BITS = 18
-    FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-    BASE = np.uint64(0x100000001B3)
+    BITS = 19
+    FACTOR, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
     def __init__(self, pieces: dict[str, tuple[int, int]]):
-        self.keys = np.zeros((2, 1 << self.BITS), np.uint64)
-        self.value = np.full((2, 1 << self.BITS), -1, np.int32)
         # The last entry, at -1, is that of no piece: an unknown character.
         self.ids = np.array([*(i for i, _ in pieces.values()), -1], np.int64)
         self.scores = np.array([*(s for _, s in pieces.values()), NONE], np.int64)
@@ -60,20 +59,17 @@ class _Table:
         hashes = np.array([self.hash_of(p) for p in pieces], np.uint64)
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces have one hash")
-        places = np.array([self._place(hashes, side) for side in range(2)])
-        for n in range(len(hashes)):
-            side, value = 0, n
-            for _ in range(500):
-                h, at = hashes[value], places[side, value]
-                self.keys[side, at], self.value[side, at], value = h, value, self.value[side, at]
-                if value < 0:
-                    break
-                side ^= 1
-            else:
-                raise ValueError("the table of pieces is too small")
-
-    def _place(self, h: np.ndarray, side: int) -> np.ndarray:
-        return ((h * self.FACTORS[side]) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        slots, first = np.unique(self._slot(hashes), return_index=True)
+        self.keys, self.value = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+        self.keys[slots], self.value[slots] = hashes[first], first
+        others = np.setdiff1d(np.arange(len(hashes)), first)
+        order = others[np.argsort(hashes[others])]
+        self.other_keys, self.other_values = hashes[order], order.astype(np.int32)
+        self.shared = np.zeros(1 << self.BITS, bool)
+        self.shared[self._slot(self.other_keys)] = True
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * self.FACTOR) >> np.uint64(64 - self.BITS)).view(np.int64)
 
     def hash_of(self, piece: str) -> int:
         h = 0
@@ -83,12 +79,40 @@ class _Table:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Numbers of the pieces with these hashes, or -1."""
-        first, second = self._place(h, 0), self._place(h, 1)
-        out = np.where(self.keys[1].take(second) == h, self.value[1].take(second), np.int32(-1))
-        np.copyto(out, self.value[0].take(first), where=self.keys[0].take(first) == h)
+        slot = self._slot(h)
+        out = np.where(self.keys.take(slot) == h, self.value.take(slot), np.int32(-1))
+        again = np.flatnonzero(self.shared.take(slot))
+        if len(again) and len(self.other_keys):
+            at = np.minimum(np.searchsorted(self.other_keys, h[again]), len(self.other_keys) - 1)
+            hit = self.other_keys[at] == h[again]
+            out[again[hit]] = self.other_values[at[hit]]
         return out
 
 
+class Solved:
+    """Score and ids of the best path through each of some parts; the ids of all stand one after the other."""
+
+    def __init__(self, parts: list[str], scores: list[np.ndarray], sizes: list[np.ndarray], flat: list[np.ndarray]):
+        self.place = dict(zip(parts, range(len(parts)), strict=True))
+        self.scores, self.sizes, self.flat = (np.concatenate([np.zeros(0, np.int64), *x]).astype(kind) for x, kind in ((scores, np.int64), (sizes, np.int64), (flat, np.int32)))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def __getitem__(self, part: str) -> tuple[int, tuple[int, ...]]:
+        k = self.place[part]
+        return int(self.scores[k]), tuple(self.flat[self.starts[k] : self.starts[k] + self.sizes[k]].tolist())
+
+    def score(self, parts: list[str]) -> int:
+        return int(self.scores[[self.place[p] for p in parts]].sum())
+
+    def ids(self, parts: Iterator[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of n parts, one after the other, and where each ends."""
+        at = np.fromiter(map(self.place.__getitem__, parts), np.int64, n)
+        own = self.sizes[at]
+        ends = np.cumsum(own)
+        total = int(ends[-1]) if n else 0
+        return self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - own), own)], ends
+
+
 class Lattice:
     """Pieces of a model with their scores; an unknown character costs more than any piece and becomes its bytes.
 
@@ -111,7 +135,7 @@ class Lattice:
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY * SCALE
         self.longest = max(map(len, self.pieces))
         self.table = _Table(self.pieces)
-        self.known: dict[str, tuple[int, tuple[int, ...]]] = {}
+        self.ready = Solved([], [], [], [])
 
     def options(self, text: str, at: int) -> Iterator[tuple[int, int]]:
         """(length, score) of what can start at a place of text."""
@@ -153,8 +177,8 @@ class Lattice:
         score, back = self._forward(text, len(text), [0])
         return score[-1], tuple(self._trace(text, back, len(text))[0])
 
-    def _together(self, parts: list[str]) -> list[tuple[int, tuple[int, ...]]]:
-        """As path, for parts of one length."""
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As path, for parts of one length: scores, numbers of ids, and the ids of all parts."""
         n, size = len(parts), len(parts[0])
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).T.astype(np.uint64)
         with np.errstate(over="ignore"):
@@ -177,56 +201,47 @@ class Lattice:
                     np.copyto(score[end], total, where=better)
                     np.copyto(piece[end], found, where=better)
         at, lanes = np.full(n, size), np.arange(n)
-        steps = []
+        steps, ends = [], []
         while (at > 0).any():
             last = piece[at, lanes]
             steps.append(np.where(at > 0, self.table.ids[last], -2))
+            ends.append(at)
             at = np.maximum(0, at - self.table.lengths[last])
-        ids = np.array(steps[::-1]).T
-        out = [(x, tuple(i for i in row if i >= 0)) for x, row in zip(score[size].tolist(), ids.tolist(), strict=True)]
-        for lane in np.flatnonzero((ids == -1).any(axis=1)).tolist():  # with the bytes of unknown characters
-            end, parts_of = size, []
-            while end:
-                k = int(self.table.lengths[piece[end, lane]])
-                parts_of.append(self.ids(parts[lane][end - k : end]))
-                end -= k
-            out[lane] = (out[lane][0], tuple(i for p in reversed(parts_of) for i in p))
-        return out
-
-    def solve(self, parts: set[str]) -> dict[str, tuple[int, tuple[int, ...]]]:
-        """Score and ids of the best path through each part."""
-        known = self.known
-        out = {p: known[p] for p in parts if p in known}
-        fresh: dict[int, list[str]] = {}
-        for p in parts - out.keys():
-            fresh.setdefault(len(p), []).append(p)
-        if len(known) + sum(map(len, fresh.values())) > PARTS_REMEMBERED:
-            known.clear()
-        for size, own in fresh.items():
-            if size > PART_CHARS:
-                out.update((p, self.path(p)) for p in own)
-                continue
-            for at in range(0, len(own), 4_096):
-                found = dict(zip(own[at : at + 4_096], self._together(own[at : at + 4_096]), strict=True))
-                out |= found
-                if len(known) + len(found) <= PARTS_REMEMBERED:
-                    known |= found
-        return out
+        ids, ends = np.array(steps[::-1]).T, np.array(ends[::-1]).T
+        counts = (ids >= 0).astype(np.int64)
+        unknown = [(lane, step, self.ids(parts[lane][ends[lane, step] - 1])) for lane, step in np.argwhere(ids == -1).tolist()]
+        for lane, step, own in unknown:
+            counts[lane, step] = len(own)
+        flat = np.repeat(ids.ravel(), counts.ravel())
+        if unknown:
+            starts = (np.cumsum(counts) - counts.ravel()).reshape(counts.shape)
+            for lane, step, own in unknown:
+                flat[starts[lane, step] : starts[lane, step] + len(own)] = own
+        return score[size], counts.sum(axis=1), flat
+
+    def solve(self, parts: set[str]) -> Solved:
+        """The best path through each part."""
+        by_size: dict[int, list[str]] = {}
+        for p in parts:
+            by_size.setdefault(len(p), []).append(p)
+        order, found = [], []
+        for size, own in by_size.items():
+            for at in range(0, len(own), 8_192):
+                part = own[at : at + 8_192]
+                order += part
+                if size > PART_CHARS or len(part) < FEW:
+                    paths = list(map(self.path, part))
+                    found.append((np.array([x for x, _ in paths]), np.array([len(i) for _, i in paths]), np.array([i for _, ids in paths for i in ids])))
+                else:
+                    found.append(self._together(part))
+        return Solved(order, *map(list, zip(*found, strict=True))) if found else Solved([], [], [], [])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each has. Blanks are already BLANK."""
         parts = [_PARTS.findall(t) for t in texts]
         solved = self.solve(set(itertools.chain.from_iterable(parts)))
-        place = dict(zip(solved, range(len(solved)), strict=True))
-        sizes = np.array([len(ids) for _, ids in solved.values()] or [0], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(ids for _, ids in solved.values()), np.int32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
         counts = np.array([len(p) for p in parts], np.int64)
-        at = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        own = sizes[at] if len(at) else np.zeros(0, np.int64)
-        ends = np.cumsum(own)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(starts[at] - (ends - own), own)] if total else np.zeros(0, np.int32)
+        ids, ends = solved.ids(itertools.chain.from_iterable(parts), int(counts.sum()))
         upto = np.concatenate([[0], ends])[np.cumsum(counts)]
         return ids, np.diff(upto, prepend=0)
 
@@ -251,14 +266,21 @@ class Lattice:
                     np.maximum(d[at + length], d[at] + s, out=d[at + length])
         return d[n : n + self.longest].T
 
+    def prepare(self, bodies: list[str]) -> None:
+        """Solve the parts of some chunks together."""
+        inside = [body[slice(*self._cuts(body))] for body in bodies]
+        self.ready = self.solve(set(itertools.chain.from_iterable(map(_PARTS.findall, inside))))
+
+    def _ready(self, parts: list[str]) -> Solved:
+        return self.ready if self.ready.place.keys() >= set(parts) else self.solve(set(parts))
+
     def transfer(self, body: str, ahead: str) -> np.ndarray:
         """Max-plus matrix of a chunk: best score by the overhang into it and the overhang out of it."""
         a, b = self._cuts(body)
         if not a:
             return self._spread(body + ahead, len(body), self.longest)
         parts = _PARTS.findall(body[a:b])
-        solved = self.solve(set(parts))
-        middle = sum(solved[p][0] for p in parts)
+        middle = self._ready(parts).score(parts)
         into = self._spread(body[:a], a, self.longest)[:, 0]  # no piece reaches over the cut
         out = self._spread(body[b:] + ahead, len(body) - b, 1)[0]
         return np.maximum(into[:, None] + out[None] + middle, NONE)
@@ -283,7 +305,8 @@ class Lattice:
         head = self._trace(body[:a], back, a)[0]
         rest = body[b:] + ahead
         _, back = self._forward(rest, len(body) - b, [0])
-        return [*head, *self.encode([body[a:b]])[0].tolist(), *self._trace(rest, back, len(body) - b + out)[0]]
+        parts = _PARTS.findall(body[a:b])
+        return [*head, *self._ready(parts).ids(iter(parts), len(parts))[0].tolist(), *self._trace(rest, back, len(body) - b + out)[0]]
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -397,8 +420,10 @@ def _giants(docs: DataFrame, chunk: int, path: str | None, group: int) -> DataFr
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    part = batch.slice(at, 64)
+                for at in range(0, batch.num_rows, 32):
+                    part = batch.slice(at, 32)
+                    if name != "into":
+                        lattice(path).prepare(part.column(2).to_pylist())
                     found = [f(*x) for x in zip(*(part.column(c).to_pylist() for c in columns), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], names=["row", "k", name])
 
