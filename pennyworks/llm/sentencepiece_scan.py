@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,9 +130,12 @@ class Lattice:
         self.pieces = {sp.id_to_piece(i): (i, round((x if x > NO_RANK else last) * SCALE)) for i, x in raw.items()}
         if any(BLANK in p.lstrip(BLANK) for p in self.pieces):
             raise ValueError("pieces with a blank after another character are not supported")
-        self.names = {i: p.encode() for p, (i, _) in self.pieces.items()}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.names |= {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        names = {i: p.replace(BLANK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        every = [names.get(i, b"") for i in range(sp.get_piece_size())]
+        self.name_bytes = np.frombuffer(b"".join(every), np.uint8)
+        self.name_sizes = np.array([len(x) for x in every], np.int64)
+        self.name_starts = np.cumsum(self.name_sizes) - self.name_sizes
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY * SCALE
         self.longest = max(map(len, self.pieces))
         self.table = _Table(self.pieces)
@@ -334,10 +338,16 @@ def escape(text: str) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
 
-def decode_ids(ids: list[int], path: str | None = None) -> str:
-    names = lattice(path).names
-    text = b"".join([names[i] for i in ids]).decode("utf-8", "replace").replace(BLANK, " ")
-    return text[1:] if text.startswith(" ") else text
+def decode_ids(ids: np.ndarray, sizes: np.ndarray, path: str | None = None) -> list[str]:
+    """Texts of some rows' ids, which stand one after the other."""
+    own = lattice(path)
+    lengths = own.name_sizes[ids]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    raw = own.name_bytes[np.arange(total) + np.repeat(own.name_starts[ids] - (ends - lengths), lengths)].tobytes()
+    upto = np.concatenate([[0], ends])[np.cumsum(sizes)].tolist()
+    texts = (raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *upto], upto, strict=False))
+    return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def _matrix(raw: bytes) -> np.ndarray:
@@ -482,10 +492,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("ids")
         for batch in _slices(batches):
-            ids = batch.column(at).to_pylist()
-            texts = pa.array([decode_ids(x or [], path) for x in ids], pa.string())
-            crc = pa.array([zlib.crc32(np.array(x or [], "<u4").tobytes()) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts, crc], names=[*names, "decoded", "ids_crc32"])
+            column = batch.column(at)
+            ids, sizes = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.array([x or 0 for x in pc.list_value_length(column).to_pylist()], np.int64)
+            texts = decode_ids(ids, sizes, path)
+            raw, upto = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+            crc = pa.array([zlib.crc32(raw[a:b]) for a, b in zip([0, *upto], upto, strict=False)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), crc], names=[*names, "decoded", "ids_crc32"])
 
     kept = encoded.select("*", F.lit("").alias("decoded"), F.lit(0).cast("long").alias("ids_crc32"))
     return encoded.mapInArrow(run, kept.schema)
