@@ -430,6 +430,46 @@ def test_toxicity_with_given_categories(spark):
     assert toxicity_chain.classify(docs.limit(0), marks).count() == 0
 
 
+def test_pipeline_stages_equal_brute_force(spark, corpus, tmp_path):
+    """Each stage on a small table with near copies, personal data, nulls, blanks, repeated rows and columns of clashing names."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    rows = [(i, t, "en", "src", len(t) if t is not None else None, "mine") for i, t in corpus] + [(None, "no id, but words", "en", "src", 16, "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _q string").cache()
+    spark.createDataFrame([(k, int(k % 9 > 0)) for k in range(5, 105)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    listed = lambda df: sorted(map(str, df.collect()))
+    for name in ("quality_classifier", "quality_rules", "near_duplicates", "personal_data"):
+        assert stage[name](spark, docs, str(tmp_path)).columns == docs.columns
+        assert stage[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+    kept = {r.doc_id for r in weak_quality.judge(docs).where("kept").collect()}
+    assert listed(stage["quality_rules"](spark, docs, "")) == listed(docs.where(F.col("doc_id").isin(list(kept - {None})) | (F.col("doc_id").isNull() & F.lit(None in kept))))
+
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := WORD.findall((t or "").lower())) else set() for i, t in corpus}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    heads = components_of(links, sets)
+    assert len({i for i, h in heads.items() if i != h}) > 20
+    due = docs.where(F.col("doc_id").isNull() | F.col("doc_id").isin([i for i, h in heads.items() if i == h]))
+    assert listed(stage["near_duplicates"](spark, docs, "")) == listed(due)
+
+    def masked(text):
+        out, at = "", 0
+        for s, e, kind in pii.find(text)[1]:
+            if s >= at:
+                out, at = out + text[at:s] + f"<{kind.upper()}>", e
+        return out + text[at:]
+
+    found = {(r.doc_id, r.text, r.n_chars) for r in stage["personal_data"](spark, docs, "").collect()}
+    assert found == {(r.doc_id, r.text and masked(r.text), r.text if r.text is None else len(masked(r.text))) for r in docs.collect()}
+
+    packed = stage["best_fit_packing"](spark, docs, "").collect()
+    pieces = sum(len(packing.cut(len(packing.encode(t or "")) + 1, 2048)) for _, t, *_ in rows)
+    tokens = sum(len(packing.encode(t or "")) + 1 for _, t, *_ in rows)
+    assert len(packed) == pieces and sum(r.length for r in packed) == tokens
+    assert len({r.sequence_id for r in packed}) <= -(-tokens // 2048) + 1  # as few as can be, or one more
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
