@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
+
+In every stage texts are read whole, however long, an empty table gives an empty one, other columns stay whatever they are called,
+and repeated rows are treated alike. Nulls and ties are stated with each stage.
 """
 
 from __future__ import annotations
@@ -13,27 +16,27 @@ from pennyworks.llm.common import materialize, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject. A null text is scored as an empty one; a score at the threshold keeps; a null doc_id is like any other."""
     return pu_quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised rules do not reject."""
+    """Documents that the weakly supervised rules do not reject. A null text has too few words and goes; a posterior of one half keeps."""
     return weak_quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near copies."""
+    """One document, that of the least doc_id, of each group of near copies. Null and blank texts and rows without a doc_id link with nothing and stay."""
     return ngram_jaccard.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows."""
+    """All documents, with personal data replaced by its kind; n_chars follows, and is null with the text."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and place there."""
+    """The pieces of all documents, each with its sequence and place there. A null text is one piece of the separator; ties in length keep a fixed order."""
     return packing.pack(docs)
 
 
