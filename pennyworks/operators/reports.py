@@ -12,7 +12,7 @@ from pennyworks.operators import prices
 from pennyworks.operators.balances import total
 from pennyworks.operators.lots import EPSILON
 
-#: Last segments of accounts that only pass money on.
+#: Last segments of accounts that only pass money on.
 PASSING = ("transfer", "lending", "bridge", "wrap", "staking")
 ROOTS = ("assets", "equity", "liabilities")
 

@@ -88,25 +88,41 @@ def test_as_of_prices(spark):
     assert {r.id: r.value for r in prices.convert(amounts, price, "AUD").collect()} == {1: None, 2: 30.0, 3: 45.0, 4: None}
 
 
-LEDGER = """; a comment
-2026-01-15 * "Big \\"Shop\\"" "Buy SOL" ; txn:1, src:x
-    assets:sol    10.5 SOL {{ 230.00 USD, fee:0.10 USD }} @ 23 USD
-    assets:cash   -230.10 USD
-    expenses:fees  x USD
-
-2026-01-16T10:00:00 Grocer weekly food
-    assets:cash  -5 USD
-    broken
+LEDGER = """; kept by hand
+2024-03-02 ! "Corner \\"Deli\\"" "Lunch for two" ; txn:k7, src:till
+    assets:points    4.25 PTS {{ 17.00 EUR, fee:0.05 EUR }} @ 4 EUR
+    assets:wallet   -17.05 EUR
+    expenses:tips  none EUR
+
+2024-03-03T08:30:00 Baker rolls and jam
+    assets:wallet  -3 EUR
+    unfinished
 """
 
 
 def test_ledger_text(spark):
     rows = ledger_text.parse(spark.createDataFrame([("f", LEDGER)], "file string, value string")).orderBy("ord").collect()
     a, b = rows
-    assert (a.date, a.status, a.payee, a.narration, a.meta) == ("2026-01-15", "*", 'Big "Shop"', "Buy SOL", "txn:1, src:x")
-    assert [(p.account, p.amount, p.commodity) for p in a.postings] == [("assets:sol", 10.5, "SOL"), ("assets:cash", -230.1, "USD"), ("expenses:fees", 0.0, "USD")]
-    assert a.postings[0].cost.is_total and a.postings[0].cost.amount == 230.0 and not a.postings[0].price.is_total
-    assert (b.datetime, b.payee, b.narration, len(b.postings)) == ("2026-01-16T10:00:00", "Grocer", "weekly food", 1)
+    assert (a.date, a.status, a.payee, a.narration, a.meta) == ("2024-03-02", "!", 'Corner "Deli"', "Lunch for two", "txn:k7, src:till")
+    assert [(p.account, p.amount, p.commodity) for p in a.postings] == [("assets:points", 4.25, "PTS"), ("assets:wallet", -17.05, "EUR"), ("expenses:tips", 0.0, "EUR")]
+    assert a.postings[0].cost.is_total and a.postings[0].cost.amount == 17.0 and not a.postings[0].price.is_total
+    assert (b.datetime, b.payee, b.narration, len(b.postings)) == ("2024-03-03T08:30:00", "Baker", "rolls and jam", 1)
+
+
+def test_written_ledger_is_read_back(spark, tmp_path):
+    txns = ledger_text.parse(spark.createDataFrame([("f", LEDGER)], "file string, value string")).withColumn("folder", F.lit("home"))
+    ledger_text.write(txns, str(tmp_path / "out"))
+    again = ledger_text.parse(spark.read.text(str(tmp_path / "out/folder=home"), wholetext=True).select(F.lit("g").alias("file"), "value"))
+    short = lambda df: sorted((r.date, r.payee, r.narration, tuple((p.account, p.amount, p.commodity) for p in r.postings)) for r in df.collect())
+    assert short(again) == short(txns)
+
+
+def test_price_csv_and_declared_accounts(spark):
+    rows = spark.createDataFrame([("EUR", "2024-01-02", " 1.5 ", "ABC"), ("EUR", "2024-01-03", "n/a", "ABC")], "CURRENCY string, date string, Price string, Commodity string")
+    assert [tuple(r) for r in ledger_text.price_csv(rows).collect()] == [("ABC", "2024-01-02", 1.5, "EUR")]
+    text = "account assets:wallet\n  opening -2.5 EUR\n  name My wallet \naccount assets:x\n\n2024-01-01 A\n    assets:x  1 EUR\n"
+    found = ledger_text.accounts(spark.createDataFrame([("f", text)], "file string, value string")).orderBy("ord").collect()
+    assert [tuple(r)[2:] for r in found] == [("assets:wallet", -2.5, "EUR", None, "My wallet"), ("assets:x", None, None, None, None)]
 
 
 def test_price_lines(spark):
