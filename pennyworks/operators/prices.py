@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _month(date: Column) -> Column:
+    """A date's month, counted from year 0; null if the text is no date."""
+    return F.substring(date, 1, 4).try_cast("int") * 12 + F.substring(date, 6, 2).try_cast("int")
+
+
 def as_of(requests: DataFrame, prices: DataFrame, commodity: str, at: str, into: str, first_if_none: bool = False) -> DataFrame:
     """requests with a struct column `into` (price, quote): the last price of the commodity not after `at`, or null.
 
-    Distinct requests meet the prices of their own month; where none of these is early enough, they take the last one of the
-    months before, which is found among one row a commodity and month. Joins are equalities on commodity and month.
+    Only the prices are grouped: a row a commodity and month, from its first to its last, with the month's prices (one a date, so at
+    most 31) and the last one before it. Requests are read once and meet these by equality, so a plan of two hops does not multiply them.
     """
-    month = lambda c: F.substring(c, 1, 7)
-    quotes = prices.groupBy("commodity", "date").agg(F.max(F.struct("price", "quote")).alias("p"))
-    quotes = quotes.select(F.col("commodity").alias("_c"), month("date").alias("_m"), F.col("date").alias("_d"), "p")
-    wanted = requests.where(F.col(commodity).isNotNull() & F.col(at).isNotNull()).select(F.col(commodity).alias("_c"), F.col(at).alias("_at")).distinct().withColumn("_m", month("_at"))
-    last = quotes.groupBy("_c", "_m").agg(F.max_by("p", "_d").alias("p"), F.min_by("p", "_d").alias("first"))
-    months = wanted.select("_c", "_m").distinct().join(last, ["_c", "_m"], "full")
-    before = Window.partitionBy("_c").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    ever = Window.partitionBy("_c").orderBy("_m").rowsBetween(0, Window.unboundedFollowing)
-    months = months.select("_c", "_m", F.last("p", ignorenulls=True).over(before).alias("carried"), *([F.first("first", ignorenulls=True).over(ever).alias("next")] if first_if_none else []))
-    near = wanted.join(quotes, ["_c", "_m"]).where(F.col("_d") <= F.col("_at")).groupBy("_c", "_m", "_at").agg(F.max_by("p", "_d").alias("own"))
-    found = wanted.join(near, ["_c", "_m", "_at"], "left").join(months, ["_c", "_m"])
-    found = found.select("_c", "_at", F.coalesce("own", "carried", *(["next"] if first_if_none else [])).alias(into))
-    return requests.join(found, (F.col(commodity) == F.col("_c")) & (F.col(at) == F.col("_at")), "left").drop("_c", "_at")
+    quotes = prices.where(F.col("commodity").isNotNull()).groupBy("commodity", "date").agg(F.max(F.struct("price", "quote")).alias("p"))
+    quotes = quotes.select(F.col("commodity").alias("_c"), _month(F.col("date")).alias("_m"), F.struct(F.col("date").alias("d"), "p").alias("q")).where("_m is not null")
+    months = quotes.groupBy("_c", "_m").agg(F.sort_array(F.collect_list("q")).alias("_qs"), F.max("q")["p"].alias("last"), F.min("q")["p"].alias("first"))
+    w = Window.partitionBy("_c").orderBy("_m")
+    spans = months.select("_c", F.col("_m").alias("from"), "_qs", "last", F.lag("last").over(w).alias("before"), F.coalesce(F.lead("_m").over(w) - 1, "_m").alias("until"))
+    spans = spans.select("*", F.explode(F.sequence("from", "until")).alias("_m"))
+    own = F.col("_m") == F.col("from")
+    spans = spans.select("_c", "_m", F.when(own, F.col("_qs")).alias("_qs"), F.when(own, F.col("before")).otherwise(F.col("last")).alias("_carried"))
+    ends = months.groupBy(F.col("_c").alias("_e")).agg(F.max("_m").alias("_end"), F.max_by("last", "_m").alias("_last"), F.min_by("first", "_m").alias("_first"))
+    month = _month(F.col(at))
+    met = requests.join(spans, (F.col(commodity) == F.col("_c")) & (month == F.col("_m")), "left").join(ends, F.col(commodity) == F.col("_e"), "left")
+    near = F.array_max(F.filter("_qs", lambda q: q["d"] <= F.col(at)))["p"]
+    found = F.coalesce(near, "_carried", F.when(month > F.col("_end"), F.col("_last")), *([F.when(month.isNotNull(), F.col("_first"))] if first_if_none else []))
+    return met.withColumn(into, found).drop("_c", "_m", "_qs", "_carried", "_e", "_end", "_last", "_first")
 
 
 def convert(requests: DataFrame, prices: DataFrame, base: str, amount: str = "amount", commodity: str = "commodity", at: str = "date") -> DataFrame:
