@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pennyworks.functions import search
 from pennyworks.functions.patterns import wildcard_regex
 from pennyworks.operators import files, lots, prices, reports, swaps
-from pennyworks.plans import catalog, ledger_queries, report_queries
+from pennyworks.plans import catalog, ledger_queries, report_queries, swap_queries
 from pennyworks.plans.ledger import TABLES
 from pennyworks.sources import ledger_text, ofx
 from pennyworks.streaming import ingest
 
-assert report_queries and ledger_queries
+assert report_queries and ledger_queries and swap_queries
 SF = "/root/testdata/sf0.001"
 
 
@@ -27,7 +27,7 @@ def plain(rows):
     return sorted(tuple(cell(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
     for t in (*TABLES, "events"):
