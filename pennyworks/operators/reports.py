@@ -108,7 +108,7 @@ def attribution(events: DataFrame, matches: DataFrame, quotes: DataFrame, start:
     realised = zero("got") - zero("spent") - F.when(zero("old") < EPSILON, 0.0).otherwise(F.col("old") * F.col("unit0"))
     total_gain = value(1) - value(0) - F.col("paid") + F.col("received")
     found = priced.join(sold, "commodity", "left").select("commodity", realised.alias("realised"), (total_gain - realised).alias("unrealised"), total_gain.alias("total_gain"))
-    return found.where("total_gain is not null").select("commodity", *(F.round(c, k).alias(c) for c, k in (("realised", 2), ("unrealised", 2), ("total_gain", 4))))
+    return found.where("total_gain is not null").select("commodity", *(F.round(c, k).alias(c) for c, k in (("realised", 4), ("unrealised", 4), ("total_gain", 4))))
 
 
 def positions(open_lots: DataFrame, quotes: DataFrame, at: str, base: str) -> DataFrame:

@@ -70,7 +70,7 @@ def _unit_sql(day: str) -> str:
       SUM(CASE WHEN sgn > 0 AND date BETWEEN '{START}' AND '{END}' THEN net ELSE 0 END) AS paid, SUM(CASE WHEN sgn < 0 AND date BETWEEN '{START}' AND '{END}' THEN net ELSE 0 END) AS received FROM line GROUP BY 1),
     s AS (SELECT commodity, SUM(proceeds - CASE WHEN buy_date >= '{START}' THEN cost ELSE taken * unit END) AS realised FROM t LEFT JOIN u0 USING (commodity) WHERE sell_date BETWEEN '{START}' AND '{END}' GROUP BY 1),
     w AS (SELECT commodity, COALESCE(realised, 0) AS realised, q1 * u1.unit - q0 * u0.unit - paid + received AS total_gain FROM h JOIN u0 USING (commodity) JOIN u1 USING (commodity) LEFT JOIN s USING (commodity))
-    SELECT commodity, ROUND(realised, 2) AS realised, ROUND(total_gain - realised, 2) AS unrealised, ROUND(total_gain, 4) AS total_gain FROM w""")
+    SELECT commodity, ROUND(realised, 4) AS realised, ROUND(total_gain - realised, 4) AS unrealised, ROUND(total_gain, 4) AS total_gain FROM w""")
 def performance_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = catalog.lot_events(spark, sf_dir)
     matches = lots.gains(lots.match(events, [*KEY, "quantity", "value"]))
