@@ -10,19 +10,17 @@ that many bytes are the most that are looked ahead. States and arcs are built wh
 from __future__ import annotations
 
 import base64
-import hashlib
-from array import array
+import struct
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Arcs, remembered pieces and pairs of a task; beyond it they are forgotten and built again. Bounds memory, changes no result.
+#: Arcs and pairs of tokens that a task remembers, and four times the pieces; beyond it they are forgotten and built again. Bounds memory, changes no result.
 MOST_ARCS = 600_000
 #: Characters of text that are turned to ids before a batch of rows is handed on.
 SLICE_CHARS = 4_000_000
@@ -32,16 +30,6 @@ _NONE = -1
 Run = tuple[int, int, tuple[int, ...]]
 
 
-def _agreed(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """How many tokens both begin with."""
-    k = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        k += 1
-    return k
-
-
 class Transducer:
     """ranks: every token's bytes, each single byte among them, with its id, which is its rank among merges too."""
 
@@ -65,7 +53,8 @@ class Transducer:
         self.states: list[tuple[Run, ...]] = []
         self.numbers: dict[tuple[Run, ...], int] = {}
         self.shared: dict[Run, Run] = {}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.arcs: dict[int, int] = {}  # from state and byte: twice the next state, and 1 more if tokens leave
+        self.leave: dict[int, tuple[int, ...]] = {}
         self._number([(0, _NONE, ())])
 
     def _number(self, runs: list[Run]) -> int:
@@ -102,58 +91,75 @@ class Transducer:
             found = self._fits[key] = not (one != token and self.fits(_NONE, one)) and self.merged(raw) == whole
         return found
 
-    def _arc(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _arc(self, at: int, byte: int) -> int:
         """Follow every open run by one byte; emit the tokens that all that remain begin with."""
-        runs, ended, state = [], None, self.states[at]
+        runs, ended, out, state = [], None, (), self.states[at]
+        child, tokens, inner = self.child, self.token, self.inner
         for node, last, held in state:
-            node = self.child.get(node << 8 | byte)
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            token = self.token[node]
+            token = tokens[node]
             if token != _NONE and ended is None and self.fits(last, token):
-                ended = (0, token, (*held, token))
-            if self.inner[node]:
+                out = (*held, token)
+                ended = (0, token, out)
+            if inner[node]:
                 runs.append((node, last, held))
-        out = ended[2]
-        same = min([_agreed(out, held) for _, _, held in runs], default=len(out))
+        same = len(out)
+        for _, _, held in runs:
+            same = min(same, len(held))
+            while held[:same] != out[:same]:
+                same -= 1
         runs.append(ended)
+        if same:
+            runs = [(node, last, held[same:]) for node, last, held in runs]
         if len(self.arcs) >= self.most:
             self._forget()
             at = self._number(state)
-        arc = self._number([(node, last, held[same:]) for node, last, held in runs] if same else runs), out[:same]
+        arc = self._number(runs) << 1 | (same > 0)
         self.arcs[at << 8 | byte] = arc
+        if same:
+            self.leave[at << 8 | byte] = out[:same]
         return arc
 
     def run(self, piece: Iterable[int]) -> Iterator[int]:
         """The ids of a piece's bytes, each as soon as it is certain."""
         at = 0
         for byte in piece:
-            at, out = self.arcs.get(at << 8 | byte) or self._arc(at, byte)
+            at, out = self.follow(at, (byte,))
             yield from out
         yield from self.states[at][-1][2]
 
-    def ids(self, piece: bytes) -> tuple[int, ...]:
-        """All that run() gives, for a piece that is there as a whole."""
-        at, found, arcs = 0, [], self.arcs
+    def follow(self, at: int, piece: Iterable[int]) -> tuple[int, list[int]]:
+        """The state after some bytes, and the ids that have left."""
+        found, arcs = [], self.arcs
         for byte in piece:
-            arc = arcs.get(at << 8 | byte)
+            key = at << 8 | byte
+            arc = arcs.get(key)
             if arc is None:
+                state = self.states[at]
                 arc = self._arc(at, byte)
-                arcs = self.arcs
-            at, out = arc
-            if out:
-                found += out
+                if arcs is not self.arcs:  # all was forgotten but this state
+                    arcs, key = self.arcs, self.numbers[state] << 8 | byte
+            at = arc >> 1
+            if arc & 1:
+                found += self.leave[key]
+        return at, found
+
+    def ids(self, piece: bytes) -> tuple[int, ...]:
+        """All that run() gives, for a piece that is there as a whole."""
+        at, found = self.follow(0, piece)
         return (*found, *self.states[at][-1][2])
 
 
 class _Pieces(dict):
-    """Ids of pieces in two generations: when the younger is full it becomes the older one, which forgets what was not met again."""
+    """Packed ids of pieces in two generations: when the younger is full it becomes the older one, which forgets what was not met again."""
 
     def __init__(self, find, most: int):
         super().__init__()
         self.find, self.most, self.older = find, most, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece) or self.find(piece)
         if len(piece) <= 32:
             if len(self) >= self.most:
@@ -170,16 +176,18 @@ class Encoder:
         import regex
 
         self.transducer, self.pattern = Transducer(ranks, most), regex.compile(pattern)
-        self.known = _Pieces(self._piece, most // 2)
+        self.known = _Pieces(self._piece, most // 4)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.transducer.ranks.get(raw)
-        return (whole,) if whole is not None else self.transducer.ids(raw)
+        ids = (whole,) if whole is not None else self.transducer.ids(raw)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         pieces = self.pattern.findall(text) if len(text) < 1_000_000 else (m[0] for m in self.pattern.finditer(text))
-        return array("I", chain.from_iterable(map(self.known.__getitem__, pieces)))
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
 # Lead bytes of UTF-8, with the number of bytes that follow and the range of the first of these.
@@ -277,26 +285,29 @@ def _slices(batch: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]
         yield batch.slice(start)
 
 
-def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text, ids array<int>) for every row of documents(doc_id, text).
+def encode(documents: DataFrame, path: str | None = None, back: bool = False) -> DataFrame:
+    """(doc_id, text, ids array<int>, packed) for every row of documents(doc_id, text); packed are the ids as little-endian unsigned 32-bit integers.
 
-    A null or empty text has no ids. Nulls in doc_id pass through, repeated rows come back as often as they came, an empty table
-    gives an empty result, other columns are not looked at. Texts are read whole; a task holds one slice of rows, and of a very long
-    text the text and its ids. No two token sequences tie: a text has one.
+    With `back` the ids are decoded again where they are made, into `decoded`, as decode() does it. A null or empty text has no ids. Nulls in
+    doc_id pass through, repeated rows come back as often as they came, an empty table gives an empty result, other columns are not looked at. Texts
+    are read whole; a task holds one slice of rows, and of a very long text the text and its ids. No two token sequences tie: a text has one.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, text string, ids array<int>, packed binary" + ", decoded string" * back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder, decoder = _encoder(path), _decoder(path) if back else None
         for batch in batches:
             for part in _slices(batch, [len(t.as_py() or "") for t in batch.column(1)]):
-                found = [encoder.encode(t.as_py() or "") for t in part.column(1)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-                ids = np.concatenate([np.frombuffer(x, np.uint32) for x in found] or [np.zeros(0, np.uint32)]).astype(np.int32)
+                packed = [encoder.encode(t.as_py() or "") for t in part.column(1)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])])
+                ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["doc_id", "text", "ids"])
+                texts = [pa.array([decoder.decode(np.frombuffer(x, "<u4").tolist()) for x in packed], pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(packed, pa.binary()), *texts], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, text string, ids array<int>")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -317,14 +328,3 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias("decoded")).schema)
-
-
-def ids_sha256(ids: str) -> Column:
-    """Lowercase hex SHA-256 of a column of ids, as little-endian unsigned 32-bit integers."""
-
-    @F.arrow_udf("string")
-    def digest(column: pa.Array) -> pa.Array:
-        whole = [x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if x.is_valid else b"" for x in column]
-        return pa.array([hashlib.sha256(x).hexdigest() for x in whole], pa.string())
-
-    return digest(F.col(ids))

@@ -73,9 +73,9 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every document's ids, and the digest of what they decode to."""
-    decoded = bpe_transducer.decode(bpe_transducer.encode(table(spark, sf_dir, "documents")))
+    done = bpe_transducer.encode(table(spark, sf_dir, "documents"), back=True)
     raw = F.sha2(F.col("decoded").cast("binary"), 256)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe_transducer.ids_sha256("ids").alias("ids_sha256"), raw.alias("decoded_sha256"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), raw.alias("decoded_sha256"))
 
 
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
