@@ -1,12 +1,15 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled 1; the unlabelled set is a sample of all documents outside
-the held-out fold, with any label hidden. No label of 0 is ever read. The class prior comes from the scores of a draft model:
-the positives' share among the unlabelled is at most the ratio of the two shares above any score, and the least
-ratio is taken. A linear model over binned text statistics then minimises the non-negative unbiased risk
+the held-out fold, with any label hidden. No label of 0 is ever read. The class prior comes from the out-of-fold scores of draft
+models: the positives' share among the unlabelled is at most the ratio of the two shares above any score, and the least
+ratio is taken. Linear models over binned text statistics then minimise the non-negative unbiased risk
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 
+each on all folds but one, and their mean is the model. The risk is taken with PRIOR_SHARE of the estimate: a prior that is too low only
+scales the scores of good texts, by its ratio to the true one, while one that is too high leaves no risk of the negative class at all.
+
 The fit runs on the driver over at most `SAMPLE_ROWS` positives and `UNLABELLED_ROWS` others; scoring runs over every whole text.
 """
 
@@ -28,7 +31,9 @@ from pennyworks.llm.common import fold_of
 #: Bounds of the two learning samples, of trusted positives and of the unlabelled, taken in the order of a hash of the id.
 SAMPLE_ROWS, UNLABELLED_ROWS = 8_000, 8_000
 THRESHOLD = 0.3
-BINS = 8
+BINS, FOLDS = 4, 5
+#: Share of the estimated prior that the risk is taken with, and the ridge penalty times the number of positives.
+PRIOR_SHARE, RIDGE = 0.45, 3.0
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UPPER = bytes(range(65, 91))
@@ -108,24 +113,36 @@ class Model:
 
 def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Smallest ratio of the unlabelled to the positive share above a score: the positives' share."""
-    cuts = np.quantile(positive, np.linspace(0.1, 0.9, 17))
+    cuts = np.quantile(positive, np.linspace(0.02, 0.5, 13))
     ratios = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
     return float(np.clip(min(ratios), 0.05, 0.95))
 
 
 def fit_estimated(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """A model for the prior that a draft's scores give."""
-    draft = fit(positive, unlabelled, prior=0.5, steps=150)
-    return fit(positive, unlabelled, best_bin_prior(draft.score(positive), draft.score(unlabelled)))
+    """The mean of the folds' models, for the prior that drafts' scores on the folds that they have not seen give."""
+    own_p, own_u = np.arange(len(positive)) % FOLDS, np.arange(len(unlabelled)) % FOLDS
+    edges = bin_edges(unlabelled)
+    if min(len(positive), len(unlabelled)) < 2 * FOLDS:
+        return fit(positive, unlabelled, 0.5, edges)
+    seen_p, seen_u = np.empty(len(positive)), np.empty(len(unlabelled))
+    for k in range(FOLDS):
+        draft = fit(positive[own_p != k], unlabelled[own_u != k], 0.5, edges, steps=100)
+        seen_p[own_p == k], seen_u[own_u == k] = draft.score(positive[own_p == k]), draft.score(unlabelled[own_u == k])
+    prior = best_bin_prior(seen_p, seen_u)
+    models = [fit(positive[own_p != k], unlabelled[own_u != k], PRIOR_SHARE * prior, edges) for k in range(FOLDS)]
+    return Model(edges, np.mean([m.weights for m in models], axis=0), float(np.mean([m.bias for m in models])), prior)
+
+
+def bin_edges(unlabelled: np.ndarray) -> np.ndarray:
+    """Edges at evenly spaced ranks of the unlabelled and at its tails, where junk sits."""
+    ranks = np.unique(np.r_[np.linspace(0, 1, BINS + 1)[1:-1], 0.02, 0.05, 0.95, 0.98])
+    return np.quantile(unlabelled, ranks, axis=0).T.copy()
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600) -> Model:
-    """Minimise the non-negative risk by Adam over all rows of both samples at each step."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, edges: np.ndarray, steps: int = 200) -> Model:
+    """Minimise the non-negative risk and a ridge penalty by Adam over all rows of both samples at each step."""
     both = np.vstack([positive, unlabelled])
-    # Edges come from evenly spaced ranks of the unlabelled and from its tails, where junk sits.
-    ranks = np.unique(np.r_[np.linspace(0, 1, BINS + 1)[1:-1], 0.02, 0.05, 0.95, 0.98])
-    edges = np.quantile(unlabelled, ranks, axis=0).T.copy()
-    width = len(ranks) + 1
+    width, ridge = edges.shape[1] + 1, RIDGE / len(positive)
 
     def onehot(x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(FEATURES) * width), np.float32)
@@ -144,7 +161,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         slope = np.concatenate([-prior * (1 - p) / n_pos - prior * p / n_pos, u / max(1, len(u))])
         if negative < 0:  # step back up the negative part, as it has gone below what a risk can be
             slope = np.concatenate([prior * p / n_pos, -u / max(1, len(u))])
-        g, gb = x.T @ slope.astype(np.float32) + 1e-4 * w, float(slope.sum())
+        g, gb = x.T @ slope.astype(np.float32) + ridge * w, float(slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate, a, b = 0.05 * (1 - step / (steps + 1)), 1 - 0.9**step, 1 - 0.999**step
@@ -172,6 +189,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 
     sample = texts.join(F.broadcast(chosen), "doc_id").select("trusted", "text")
     rows = sample.mapInArrow(run, "trusted int, x array<double>").collect()
+    rows.sort(key=lambda r: (r.trusted, r.x))  # the folds must not depend on the order that rows arrive in
+    shuffled = np.random.default_rng(0).permutation(len(rows))
+    rows = [rows[k] for k in shuffled]
     positive = np.array([r.x for r in rows if r.trusted == 1]).reshape(-1, len(FEATURES))
     unlabelled = np.array([r.x for r in rows if r.trusted == 0]).reshape(-1, len(FEATURES))
     if not len(positive) or not len(unlabelled):
