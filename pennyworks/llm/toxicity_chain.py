@@ -32,8 +32,10 @@ SAMPLE_ROWS = 20_000
 #: Tasks that the sample is dealt to.
 SAMPLE_PARTS = 24
 FOLDS = 5
-#: Toxic texts that hold a telling word, and by how many standard errors its log odds exceed zero, at least.
-MIN_TEXTS, SURE = 4, 4.0
+#: Toxic texts that hold a telling word, at least, as a number and as a share of all in the sample; standard errors that are taken off its log odds.
+MIN_TEXTS, MIN_SHARE, SURE = 2, 0.01, 2.5
+#: Of a threshold, besides ten texts and a tenth of the toxic ones over it: the least precision, and the largest share of clean texts over it, out of fold. Where no threshold has all that, nothing is predicted toxic.
+PRECISE, FALSE_SHARE = 0.8, 0.02
 BEGINNINGS = range(4, 9)
 #: Categories before `toxic` where the labels have none: toxic texts in which telling words are dense, and many.
 DERIVED = ("severe", "insistent")
@@ -140,24 +142,22 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: t
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where F1 of the out-of-fold probabilities is best, half-way to the next one below; 0.5 without both labels."""
-    if not y.any() or y.all():
-        return 0.5
+    """Where F1 of the out-of-fold probabilities is best among thresholds that spare clean texts, half-way to the next one below; where none does, nothing is toxic."""
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
-    ends = np.append(p[order][1:] < p[order][:-1], True)
-    k = int(np.where(ends, f1, 0).argmax())
+    hits, over = np.cumsum(y[order]), np.arange(1, len(p) + 1)
+    spares = (hits >= max(10, 0.1 * y.sum())) & (hits >= PRECISE * over) & (over - hits <= FALSE_SHARE * (~y).sum())
+    ends = np.append(p[order][1:] < p[order][:-1], True) & spares
+    if not ends.any() or y.all():
+        return math.inf
+    k = int(np.where(ends, 2 * hits / (over + y.sum()), 0).argmax())
     below = p[order][k + 1] if k + 1 < len(p) else 0.0
     return float((p[order][k] + below) / 2)
 
 
 def _log_odds(t: float, n: float, toxic: float, rows: float) -> float:
-    """The weight of a gram that t of n texts that hold it are toxic; 0 unless that is sure."""
-    if t < MIN_TEXTS:
-        return 0.0
+    """The weight of a gram that t of n texts that hold it are toxic: what its log odds surely exceed, or 0."""
     odds = math.log((t + 0.5) / (toxic + 1)) - math.log((n - t + 0.5) / (rows - toxic + 1))
-    return odds if odds > SURE * math.sqrt(1 / (t + 0.5) + 1 / (n - t + 0.5)) else 0.0
+    return max(0.0, odds - SURE * math.sqrt(1 / (t + 0.5) + 1 / (n - t + 0.5)))
 
 
 def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +173,15 @@ def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _weights(sample: DataFrame) -> tuple[Weights, list[Weights]]:
     """Weights from the whole sample, and for each fold from the others.
 
-    Both collects are bounded by the sample: grams that MIN_TEXTS of its toxic texts hold, and their counts by fold.
+    Both collects are of grams that MIN_SHARE of the sample's toxic texts hold, with their counts by fold.
     """
     whole = [(0.0, 0.0)] * FOLDS
     for r in sample.groupBy("fold").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect():  # FOLDS rows
         whole[r.fold] = (float(r.t), float(r.n))
     toxic, rows = sum(t for t, _ in whole), sum(n for _, n in whole)
+    least = max(MIN_TEXTS, math.ceil(MIN_SHARE * toxic))
     held = sample.where("toxic = 1").select("text").mapInArrow(_grams_of, "gram string, t long")
-    often = {r.gram for r in held.groupBy("gram").agg(F.sum("t").alias("t")).where(F.col("t") >= MIN_TEXTS).collect()}
+    often = {r.gram for r in held.groupBy("gram").agg(F.sum("t").alias("t")).where(F.col("t") >= least).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, t = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
@@ -198,10 +199,11 @@ def _weights(sample: DataFrame) -> tuple[Weights, list[Weights]]:
     folds = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("t", "n") for k in range(FOLDS)]
     all_of, others = {}, [{} for _ in range(FOLDS)]
     for r in counts.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), *folds).collect():
-        if (w := _log_odds(r.t, r.n, toxic, rows)) > 0:
+        if r.t >= least and (w := _log_odds(r.t, r.n, toxic, rows)) > 0:
             all_of[r.gram] = w
         for k in range(FOLDS):
-            if (w := _log_odds(r.t - r[f"t{k}"], r.n - r[f"n{k}"], toxic - whole[k][0], rows - whole[k][1])) > 0:
+            t = r.t - r[f"t{k}"]
+            if t >= min(least, MIN_TEXTS) and (w := _log_odds(t, r.n - r[f"n{k}"], toxic - whole[k][0], rows - whole[k][1])) > 0:
                 others[k][r.gram] = w
     return all_of, others
 
