@@ -3,7 +3,8 @@
 Mark-up is stripped to lines, one for each block, and tags give each its weight: lines in menus, headers, footers
 and the like and lines that are mostly links weigh nothing, lines of a marked article count more than others.
 Weights are summed over a sliding window of lines. A run of lines ends where the sum dives to nothing; it is text
-if the sum surges somewhere in it, or for those of its lines that share a box with a line of such a run.
+if the sum surges somewhere in it, or for those of its lines that share a box with a line of such a run. Where no article is marked but one box
+holds most of a page's weight, the text dives at its ends too: before and behind it, only boxes of some weight beside it stay.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SURGE = 80
 #: Weight of a character in a marked article, and outside it on the same page; 1 on pages without one.
 IN_MAIN, OUTSIDE = 4.0, 0.25
 LINK_SHARE = 0.6
+#: On unmarked pages: the share of the weight that makes a box the main one, and the share of its weight that others need to stay beside it.
+MAIN_SHARE, BESIDE = 0.5, 0.2
 
 # Element names of HTML.
 _RAW = frozenset("script style noscript template title textarea iframe svg math object xmp".split())
@@ -40,6 +43,8 @@ _APART_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|sidebar\w*|footer|header|masthead|cookies?|consent|gdpr|notices?|alert"
     r"|popup|modal|overlay|subscri\w*|newsletter|signup|login|comments?|disqus|replies|respond|social|share|sharing|related|recommend\w*|breadcrumbs?|widget|pagination|pager|toolbar)(?=$|[\s_-])"
 )
+# What readers say is no article's text, even in an article of its own; names that only tell whether they may say something do not count.
+_COMMENTS = re.compile(r"(?:^|\s)(?:(?:user|reader|readers|the)[_-]?)?(?:comment|repl(?:y|ies)|respon[sd]|disqus)(?!\S*(?:open|close|off|allow|enable|disable|count|link))\S*")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])")
@@ -79,7 +84,9 @@ def _is_apart(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = (m[1] or m[5]).lower(), (m[2] or m[3] or m[4] or "").lower()
         apart |= name not in _MAIN and bool(key == "role" and value in _APART_ROLES or key == "hidden" and m[5])
-        named |= key in ("class", "id") and bool(_APART_NAMES.search(value))
+        if key in ("class", "id"):
+            named |= bool(_APART_NAMES.search(value))
+            apart |= bool(_COMMENTS.search(value))
     return apart, named
 
 
@@ -196,10 +203,24 @@ def _surging(weights: list[float], at_best: bool) -> list[bool]:
     return out
 
 
+def _beside(found: list[Line], weights: list[float]) -> list[bool]:
+    """Which lines stand before or behind the box that holds most of a page, in a box of little weight beside it."""
+    boxes: Counter = Counter()
+    for x, w in zip(found, weights, strict=True):
+        boxes[x.box] += w
+    best, most = max(boxes.items(), key=lambda b: b[1], default=(0, 0))
+    if most < MAIN_SHARE * sum(weights) or not most:
+        return [False] * len(found)
+    own = [k for k, x in enumerate(found) if x.box == best]
+    return [not own[0] <= k <= own[-1] and boxes[x.box] < BESIDE * most for k, x in enumerate(found)]
+
+
 def main_text(page: str | None) -> str:
     found = lines(page or "")
     marked = any(x.main and not x.apart for x in found)
     weights = [_weight(x, marked) for x in found]
+    if not marked:
+        weights = [0 if off else w for w, off in zip(weights, _beside(found, weights), strict=True)]
     surging: dict[int, bool] = {}
     for best in (True, False):  # the article's lines, or all of an unmarked page; then those outside the article
         own = [k for k, x in enumerate(found) if (x.main or not marked) == best]

@@ -342,14 +342,35 @@ def test_html_of_unmarked_pages():
 def test_html_surge_on_marked_pages():
     long = "<p>" + "A long paragraph of the story that the page tells. " * 10 + "</p>"
     remark = '<article class="comment-body"><p>A reader says so.</p></article>'
-    assert html_text.main_text(f"<div>{long}</div><p>Stray.</p>{remark}").endswith("A reader says so.")
-    assert html_text.main_text(f"<div>{long}</div><p>Stray.</p>{remark}").startswith("A long paragraph")
+    assert html_text.main_text(f"<div>{long}</div><p>Stray.</p>{remark}").endswith("tells.")
+    assert "reader" not in html_text.main_text(f"<main><article>{long}</article>{remark}</main>") + html_text.main_text(f"<article>{long}</article><section>{remark}</section>")
     assert html_text.main_text(f"<p>Stray.</p><article>{long}</article>").startswith("A long paragraph")
     gap = "<p><button>a</button><button>b</button><button>c</button></p>"
     assert html_text.main_text(f"<article>{long}</article><article>{gap}<p>Hm.</p>{gap}</article>").endswith("tells.")
     assert html_text.main_text("<article><p>Hm.</p></article>") == "Hm."
 
 
+def test_html_comments_of_readers():
+    long = "<p>" + "A long paragraph of the story that the page tells. " * 10 + "</p>"
+    said = "<p>" + "I have read it and say what I think of it here. " * 5 + "</p>"
+    for remark in (f'<article class="comment">{said}</article>', f'<section id="comments"><article>{said}</article></section>', f'<div class="user-comments"><main>{said}</main></div>', f'<article id="reply-7">{said}</article>'):
+        for page in (f"<article>{long}</article>{remark}", f"<main>{long}{remark}</main>", f"<body>{long}{remark}</body>", f"<article>{long}{remark}</article>"):
+            assert html_text.main_text(page).endswith("page tells."), (remark, page[:20])
+    for name in ("post comments-open", "no-comments", "comments-closed", "respond-off"):
+        assert html_text.main_text(f'<article class="{name}">{long}</article>').endswith("page tells.")
+
+
+def test_html_window_on_stripped_pages(spark):
+    """Without any names and marks the text is nearly the same: no word is lost, and few come in."""
+    lost = stray = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        bare = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", r.html, flags=re.I)
+        bare = re.sub(r"\s(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", bare)
+        a, b = (collections.Counter(html_text.main_text(p).split()) for p in (r.html, bare))
+        lost, stray, total = lost + sum((a - b).values()), stray + sum((b - a).values()), total + sum(a.values())
+    assert lost <= 0.001 * total and stray <= 0.01 * total
+
+
 def test_html_names_of_wrappers():
     assert html_text.main_text('<div class="layout has-sidebar"><article><p>Text.</p><div class="share"><p>Tell all</p></div></article></div>') == "Text."
     assert html_text.main_text('<main><div class="has-sidebar"><article>Text.</article></div><div id="comments"><article class="comment">Me too</article></div></main>') == "Text."
@@ -405,6 +426,26 @@ def test_classifiers(spark):
     assert pu_quality.classify(docs.limit(0), marks).count() == 0
 
 
+@pytest.mark.parametrize(("sf", "good", "bad"), [("sf0.001", 0.9, 0.1), ("sf0.01", 0.9, 0.1)])
+def test_classifiers_on_small_tables(spark, sf, good, bad):
+    """Held-out labels: quality as in `good` and `bad`, and of clean documents 2 % at most toxic."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = pu_quality.classify(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r.predicted for r in held if r.quality == 1]) >= good and np.mean([r.predicted for r in held if r.quality == 0]) <= bad
+    rows = toxicity_chain.classify(docs, labels).join(labels, "doc_id").collect()
+    assert np.mean([r.predicted for r in rows if r.held_out and r.toxic == 0]) <= 0.02
+    if sf == "sf0.01":
+        assert np.mean([r.predicted for r in rows if r.toxic == 1]) >= 0.6
+
+
+def test_toxicity_threshold_spares_the_clean():
+    rng = np.random.default_rng(0)
+    y = np.arange(400) < 40
+    assert toxicity_chain.best_threshold(rng.uniform(size=400) * 0.2, y) == np.inf
+    assert 0.1 < toxicity_chain.best_threshold(np.where(y, 0.3, 0.1) + rng.uniform(size=400) * 0.05, y) < 0.3
+    assert toxicity_chain.best_threshold(np.zeros(0), np.zeros(0, bool)) == np.inf == toxicity_chain.best_threshold(np.ones(3), np.ones(3, bool))
+
+
 def test_toxicity_in_every_language(spark):
     """Held-out recall and precision by language on the labelled documents of sf0.1."""
     sf = "/root/testdata/sf0.1"
