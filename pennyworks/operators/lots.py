@@ -2,7 +2,8 @@
 
 Acquisitions of a commodity, in order, cover (A-a, A] of its cumulative bought quantity, and disposals (D-d, D] of
 the consumed one. What is sold beyond the holding is discarded: D = C - max(0, max(C - A so far)). Where a lot's
-interval and a disposal's overlap, that much of the lot went into the disposal.
+interval and a disposal's overlap, that much of the lot went into the disposal. Cumulative quantities are decimals of 12 places, so boundaries
+that should meet do, however much has been traded.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-10
+#: Cumulative quantities; and how many boundaries a task orders at once.
+EXACT, ROWS = "decimal(38,12)", 50_000
 
 
 def _running(events: DataFrame, order: list[str]) -> DataFrame:
@@ -18,23 +21,23 @@ def _running(events: DataFrame, order: list[str]) -> DataFrame:
 
     Running sums go by commodity and date first, so only one row per day is ordered in a commodity's window.
     """
-    bought = F.when(F.col("quantity") > 0, F.col("quantity")).otherwise(0.0)
-    sold = F.when(F.col("quantity") < 0, -F.col("quantity")).otherwise(0.0)
+    exact, zero = F.col("quantity").cast(EXACT), F.lit(0).cast(EXACT)
+    bought, sold = F.greatest(exact, zero), F.greatest((-exact).cast(EXACT), zero)
     events = events.withColumn("bought", bought).withColumn("sold", sold)
     in_day = Window.partitionBy("commodity", "date").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     days = events.groupBy("commodity", "date").agg(F.sum("bought").alias("day_bought"), F.sum("sold").alias("day_sold"))
     before = Window.partitionBy("commodity").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("commodity", "date", F.coalesce(F.sum("day_bought").over(before), F.lit(0.0)).alias("b0"), F.coalesce(F.sum("day_sold").over(before), F.lit(0.0)).alias("s0"))
+    days = days.select("commodity", "date", F.coalesce(F.sum("day_bought").over(before), zero).cast(EXACT).alias("b0"), F.coalesce(F.sum("day_sold").over(before), zero).cast(EXACT).alias("s0"))
     run = events.join(days, ["commodity", "date"])
-    run = run.withColumn("A", F.col("b0") + F.sum("bought").over(in_day)).withColumn("C", F.col("s0") + F.sum("sold").over(in_day))
+    sum_ = lambda c, start: (F.col(start) + F.sum(c).over(in_day)).cast(EXACT)
+    run = run.withColumn("A", sum_("bought", "b0")).withColumn("C", sum_("sold", "s0"))
     # The largest excess so far, again by day first.
     run = run.withColumn("excess_day", F.max(F.col("C") - F.col("A")).over(in_day))
     tops = run.groupBy("commodity", "date").agg(F.max(F.col("C") - F.col("A")).alias("top"))
     tops = tops.select("commodity", "date", F.max("top").over(before).alias("top0"))
     run = run.join(tops, ["commodity", "date"])
-    waste = F.greatest(F.lit(0.0), F.col("excess_day"), F.coalesce("top0", F.lit(0.0)))
-    run = run.withColumn("D", F.col("C") - waste)
-    return run
+    waste = F.greatest(zero, F.col("excess_day").cast(EXACT), F.coalesce(F.col("top0").cast(EXACT), zero))
+    return run.withColumn("D", (F.col("C") - waste).cast(EXACT))
 
 
 def match(events: DataFrame, order: list[str]) -> DataFrame:
@@ -46,13 +49,24 @@ def match(events: DataFrame, order: list[str]) -> DataFrame:
     lots = run.where("quantity > 0").select("commodity", F.col("A").alias("at"), F.struct("date", *dict.fromkeys([*order, "quantity", "value"])).alias("lot"), F.lit(None).alias("sale"))
     sales = run.where("quantity < 0").select("commodity", F.col("D").alias("at"), F.lit(None).alias("lot"), F.struct("date", *dict.fromkeys([*order, "quantity", "value"])).alias("sale"))
     marks = lots.unionByName(sales).groupBy("commodity", "at").agg(F.max("lot").alias("lot"), F.min("sale").alias("sale"))
-    back = Window.partitionBy("commodity").orderBy(F.desc("at"))  # from the end, so that each frame only grows
+    # A commodity is cut into ranges of cumulative quantity. Each knows what comes first in later ranges and where the one before it ends.
+    sizes = marks.groupBy("commodity").agg(F.max("at").cast("double").alias("top"), F.ceil(F.count("*") / ROWS).alias("parts"))
+    part = F.least(F.floor(F.col("at").cast("double") / F.col("top") * F.col("parts")), F.col("parts") - 1).cast("long")
+    marks = marks.join(sizes, "commodity").withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).drop("top", "parts")
+    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"next_{c}")
+    heads = marks.groupBy("commodity", "part").agg(first("lot"), first("sale"), F.max("at").alias("end"))
+    by_part = Window.partitionBy("commodity").orderBy("part")
+    later = Window.partitionBy("commodity").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = heads.select(
+        "commodity", "part", F.last("next_lot", ignorenulls=True).over(later).alias("next_lot"), F.last("next_sale", ignorenulls=True).over(later).alias("next_sale"), F.lag("end").over(by_part).alias("start"),
+    )
+    back = Window.partitionBy("commodity", "part").orderBy(F.desc("at"))  # from the end, so that each frame only grows
     so_far = back.rowsBetween(Window.unboundedPreceding, 0)
-    cut = marks.select(
+    cut = marks.join(carried, ["commodity", "part"]).select(
         "commodity",
-        (F.col("at") - F.coalesce(F.lead("at").over(back), F.lit(0.0))).alias("taken"),
-        F.last("lot", ignorenulls=True).over(so_far).alias("lot"),
-        F.last("sale", ignorenulls=True).over(so_far).alias("sale"),
+        (F.col("at") - F.coalesce(F.lead("at").over(back), F.col("start"), F.lit(0).cast(EXACT))).cast("double").alias("taken"),
+        F.coalesce(F.last("lot", ignorenulls=True).over(so_far), "next_lot").alias("lot"),
+        F.coalesce(F.last("sale", ignorenulls=True).over(so_far), "next_sale").alias("sale"),
     )
     return cut.where("lot is not null and sale is not null").where(F.col("taken") > EPSILON)
 
@@ -61,7 +75,7 @@ def remaining(events: DataFrame, order: list[str]) -> DataFrame:
     """commodity, lot and what is `left` of it after all disposals: the part of its interval beyond the last consumed unit."""
     run = _running(events, order)
     sold = run.groupBy("commodity").agg(F.max("D").alias("end"))
-    left = F.least(F.col("quantity"), F.col("A") - F.col("end"))
+    left = F.least(F.col("quantity"), (F.col("A") - F.col("end")).cast("double"))
     lot = F.struct("date", *dict.fromkeys([*order, "quantity", "value"]))
     return run.where("quantity > 0").join(sold, "commodity").select("commodity", lot.alias("lot"), left.alias("left")).where(F.col("left") > EPSILON)
 
