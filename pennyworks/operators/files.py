@@ -32,3 +32,16 @@ def new_only(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     fresh = new.join(old.select(key).distinct(), key, "left_anti")
     rest = [c for c in new.columns if c != key]
     return fresh.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*")
+
+
+def deduplicated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, report) of rows(folder, file, size, day, key, ...): of a key that several files of a folder hold, only the winner's rows stay.
+
+    The report has a row a folder and file: rows, those dropped, and whether nothing is left of it, so that it can be archived. What is kept has no
+    doubles any more, so doing it again changes nothing. Rows without a key stay.
+    """
+    best = winners(rows.where("key is not null")).where("files > 1").select("folder", "key", F.col("file").alias("winner"))
+    marked = rows.join(best, ["folder", "key"], "left").withColumn("dropped", F.coalesce(F.col("winner") != F.col("file"), F.lit(False)))
+    gone = F.sum(F.col("dropped").cast("long"))
+    report = marked.groupBy("folder", "file").agg(F.count("*").alias("rows"), gone.alias("dropped"), (gone == F.count("*")).alias("archived"))
+    return marked.where("not dropped").select(*rows.columns), report

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +52,40 @@ def latest(prices: DataFrame) -> DataFrame:
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """All of new, and what old has for other dates of each commodity."""
     return new.unionByName(old.join(new.select("commodity", "date").distinct(), ["commodity", "date"], "left_anti").select(*new.columns))
+
+
+def first_fresh(quotes: DataFrame, sources: DataFrame, at: str, max_age: int) -> DataFrame:
+    """commodity, source and last date of the first of sources(commodity, source, ord) whose newest of quotes(commodity, source, date, ...) is at most so many days old.
+
+    Only a row a commodity and source is ordered. Commodities without a fresh source are left out, and stale() tells them.
+    """
+    newest = quotes.groupBy("commodity", "source").agg(F.max("date").alias("last"))
+    fresh = sources.join(newest, ["commodity", "source"]).where(F.datediff(F.lit(at).cast("date"), F.col("last").cast("date")) <= max_age)
+    return fresh.groupBy("commodity").agg(F.min_by(F.struct("source", "last"), F.struct("ord", "source")).alias("s")).select("commodity", "s.source", "s.last")
+
+
+def stale(quotes: DataFrame, sources: DataFrame, at: str, max_age: int) -> DataFrame:
+    """commodity and how many sources were tried of those that have none that is fresh."""
+    return sources.join(first_fresh(quotes, sources, at, max_age), "commodity", "left_anti").groupBy("commodity").agg(F.count("*").alias("tried"))
+
+
+def write_files(prices: DataFrame, path: str) -> None:
+    """Price lines in a folder for each commodity, by date; a price of a date that is there already replaces it, see merge()."""
+    line = F.concat_ws(" ", F.lit("P"), "date", "commodity", F.col("price").cast("decimal(38,10)").cast("string"), "quote").alias("value")
+    rows = prices.select("commodity", "date", line).repartition("commodity").sortWithinPartitions("commodity", "date")
+    rows.select(F.col("commodity").alias("of"), "value").write.partitionBy("of").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)
+
+
+def upsert(spark: SparkSession, prices: DataFrame, path: str) -> None:
+    """Prices put into the files below path: only the folders of their commodities are read and written again."""
+    from pennyworks.sources.ledger_text import price_lines
+    from pennyworks.sources.scratch import written
+
+    try:
+        old = spark.read.text(path)
+    except AnalysisException:  # no files yet
+        write_files(prices, path)
+        return
+    touched = prices.select(F.col("commodity").alias("of")).distinct()
+    held = price_lines(old.join(touched, "of", "left_semi").select("value"))
+    write_files(written(merge(held, prices.select(*held.columns)), "prices"), path)

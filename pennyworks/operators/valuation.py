@@ -86,3 +86,35 @@ def offset_losses(short: Column, long: Column, losses: Column, discount: float)
     to_long = F.least(long, losses - to_short)
     left = losses - to_short - to_long
     return (short - to_short) + (long - to_long) * (1 - discount), left, to_short + to_long
+
+
+def loss_carry(years: DataFrame, discount: float) -> DataFrame:
+    """years(key, fy, short, long, losses) with `taxable`, `used` and `carried`, when losses that are left go on to the next years of their key.
+
+    Losses, those carried first among them, go against short gains, then long ones, then the discount holds. A key's years are one small array
+    that is folded in order, so there is one shuffle and no recursion; years without rows carry on what there is.
+    """
+    zero = F.lit(0.0)
+
+    def step(state: Column, y: Column) -> Column:
+        taxable, left, used = offset_losses(y["short"], y["long"], y["losses"] + state["carried"], discount)
+        now = F.struct(y["fy"].alias("fy"), taxable.cast("double").alias("taxable"), used.cast("double").alias("used"), left.cast("double").alias("carried"))
+        return F.struct(left.cast("double").alias("carried"), F.concat(state["done"], F.array(now)).alias("done"))
+
+    start = F.struct(zero.alias("carried"), F.array().cast("array<struct<fy: int, taxable: double, used: double, carried: double>>").alias("done"))
+    year = F.struct(F.col("fy").cast("int").alias("fy"), *(F.coalesce(F.col(c).cast("double"), zero).alias(c) for c in ("short", "long", "losses")))
+    folded = years.groupBy("key").agg(F.aggregate(F.sort_array(F.collect_list(year)), start, step).alias("s"))
+    return folded.select("key", F.explode("s.done").alias("y")).select("key", "y.*")
+
+
+def harvest(parcels: DataFrame, short: Column, long: Column, losses: Column, discount: float, rate: float) -> DataFrame:
+    """What the losses of parcels(left, cost, value) would save: offset now against the gains that realised losses leave, carried forward, and tax.
+
+    One row; short, long and losses are columns of it, such as literals or those of a one-row table joined to the parcels.
+    """
+    whole = parcels.agg(F.coalesce(F.sum(F.greatest(F.col("cost") - F.col("value"), F.lit(0.0))), F.lit(0.0)).alias("realisable"), F.count("*").alias("parcels"))
+    free_short = F.greatest(short - losses, F.lit(0.0))
+    free_long = F.greatest(long - F.greatest(losses - short, F.lit(0.0)), F.lit(0.0))
+    on_short = F.least("realisable", free_short)
+    on_long = F.least(F.col("realisable") - on_short, free_long)
+    return whole.select("parcels", "realisable", (on_short + on_long).alias("offset"), (F.col("realisable") - on_short - on_long).alias("carried"), ((on_short + (1 - discount) * on_long) * rate).alias("saved"))
