@@ -72,6 +72,9 @@ def detect(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+#: Stands for a dot that was disguised until it is known which hosts have one.
+_DOT = "\ue000"
+
 # Look-alikes of Latin letters in Cyrillic and Greek, and of the signs in addresses.
 _LOOKALIKES = dict(zip("аеорсухіјѕһкмнтвԁԛԝАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοινρ", "aeopcyxijshkmhtbdqwABEKMHOPCTXIJSABEZHIKMNOPTYXaoivp", strict=True))
 _LOOKALIKES |= {"․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "﹫": "@", "﹒": ".", "﹢": "+"}
@@ -90,7 +93,7 @@ def _glyphs() -> dict[str, str]:
             found[c] = ""
         elif plain != c and plain.isascii():
             found[c] = plain
-    return found | _LOOKALIKES
+    return found | _LOOKALIKES | {_DOT: "\ue001"}  # a text's own mark is not taken for ours
 
 
 _GLYPHS = _glyphs()
@@ -98,19 +101,17 @@ _GLYPHS = _glyphs()
 _NUMBER = "(?ai:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _NUMBER_HINT = re.compile(r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?![^\W\d_])")
 _WORDS_OF_DIGITS = rf"(?<![^\W\d_]){_NUMBER}+(?![^\W\d_])"
-_GAP = r"[ \t,-]{1,3}"
-#: Stands for a dot that was disguised until it is known which hosts have one.
-_DOT = "\ue000"
-_SIGN_HINT = re.compile(r"[ \t]dot[ \t]|[(\[{<][ \t]{0,2}(?:at|dot|@|\.)[ \t]{0,2}[)\]}>]", re.I)
+_GAP = r"[ \t,-]+"
+_SIGN_HINT = re.compile(r"[ \t]dot[ \t]|[(\[{<][ \t]*(?:at|dot|@|\.)[ \t]*[)\]}>]", re.I)
 _SIGN = re.compile(
-    r"[ \t]{0,3}[(\[{<][ \t]{0,2}(?P<sign>at|dot|@|\.)[ \t]{0,2}[)\]}>][ \t]{0,3}"
-    r"|(?<=[A-Za-z0-9])[ \t]{1,3}(?P<dot>dot)[ \t]{1,3}(?=[A-Za-z0-9])",
+    r"(?:(?<![ \t])[ \t]+)?[(\[{<][ \t]*(?P<sign>at|dot|@|\.)[ \t]*[)\]}>][ \t]*"
+    r"|(?<=[A-Za-z0-9])[ \t]+(?P<dot>dot)[ \t]+(?=[A-Za-z0-9])",
     re.I,
 )
 _LABELS = rf"[A-Za-z0-9-]{{1,63}}(?:[.{_DOT}][A-Za-z0-9-]{{1,63}})+"
 # The host has a disguised dot and ends in a name, and is not itself the local part of what follows.
 _AT = re.compile(
-    rf"(?<=[A-Za-z0-9._%+-])[ \t]{{1,3}}at[ \t]{{1,3}}(?=(?P<host>{_LABELS})(?P<next>[._%+]*@|[ \t]{{1,3}}at[ \t]{{1,3}}{_LABELS})?)",
+    rf"(?<=[A-Za-z0-9._%+-])[ \t]+at[ \t]+(?=(?P<host>{_LABELS})(?P<next>[._%+]*@|[ \t]+at[ \t]+{_LABELS})?)",
     re.I,
 )
 _NO_NAME = re.compile(rf"[.{_DOT}](?:[0-9-]+|{_NUMBER})$", re.I)

@@ -253,6 +253,15 @@ def test_disguises_that_extend_base_spans(spark):
     pii.find("one " * 50_000 + "dot " * 50_000 + "a at b dot " * 20_000 + "​" * 50_000)  # linear
 
 
+def test_marks_of_the_text_and_wide_gaps():
+    assert pii.find("mail ab (at) example\ue000com") == ([], [])
+    assert [x[2] for x in pii.find("mail ab (at) example\ue000com or ab     (   at )   example    dot    com")[1]] == ["email"]
+    spelled = "   ,     ".join("four one one one one one one one one one one one one one one one".split())
+    assert [x[2] for x in pii.find(f"card {spelled}.")[1]] == ["card"] * pii.luhn("4" + "1" * 15)
+    blanks = "a" + " " * 200_000 + "(" + " " * 200_000 + "at"
+    assert pii.find(blanks + " one" + " " * 200_000 + "x") == ([], [])
+
+
 def test_pii_spans(spark, corpus):
     row = pii.spans(documents(spark, corpus)).where("doc_id = 110").first()
     text = corpus[-2][1]
@@ -406,6 +415,23 @@ def test_url_rules_learn_from_every_part(spark, url):
     assert url_rules.judge(pages, rules).where(F.col("page_id") == len(urls)).first().method_verdict == "block"
 
 
+def test_url_size_decides_for_no_other(spark):
+    """One labelled URL of many common segments takes no rule away, and rules on its own segments hold what they hold for all."""
+    rules = [url_rules.Rule("org", "", "allow"), url_rules.Rule("com", "", "block")]
+    plain = [f"http://a{k}.org/guide/x{k}?p=1" for k in range(60)] + [f"http://b{k}.com/win/x{k}?q=1" for k in range(60)] + [f"http://c{k}.net/{'guide' if k % 2 else 'win'}/y" for k in range(10)]
+    long = ["http://long.com/" + "/".join([f"s{chr(97 + j)}" for j in range(30)] + ["win"])] * 8
+    verdicts = lambda urls: {r.page_id: (r.method_verdict, r.confidence) for r in url_rules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).where("page_id between 120 and 129").collect()}
+    before, after = verdicts(plain), verdicts(plain + long)
+    assert {k: v for k, (v, _) in before.items()} == {k: v for k, (v, _) in after.items()} == {120 + k: "allow" if k % 2 else "block" for k in range(10)}
+    labelled = spark.createDataFrame([([f"t{j}" for j in range(k % 25 + 1)], "allow" if k % 3 else "block") for k in range(200)], "tokens array<string>, verdict string")
+    rows = [(set(r.tokens), r.verdict) for r in labelled.collect()]
+    mined = url_rules.mine(labelled, 0.05, 0.5)
+    assert mined
+    for m in mined:
+        held = [v for t, v in rows if all(t & set(item) for item in m.items)]
+        assert abs(m.confidence - np.mean([v == m.verdict for v in held])) < 1e-9 and abs(m.support - sum(v == m.verdict for v in held) / 200) < 1e-9
+
+
 def test_classifiers(spark):
     rng = random.Random(7)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
