@@ -55,9 +55,10 @@ def sign(value: Column) -> Column:
 
 def from_base_units(units: Column, decimals: int) -> Column:
     """Whole units, as text of any length, as a decimal number in text: no digit is lost, however large."""
-    padded = F.lpad(units, 100, "0")
-    whole = F.regexp_replace(F.substring(padded, 1, 100 - decimals), "^0+(?=.)", "")
-    return F.concat(whole, F.lit("."), F.substring(padded, 101 - decimals, decimals))
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(decimals + 1) - F.length(units), F.lit(0))), units)
+    cut = F.length(padded) - decimals
+    whole = F.regexp_replace(F.substr(padded, F.lit(1), cut), "^0+(?=.)", "")
+    return F.concat(whole, F.lit("."), F.substr(padded, cut + 1, F.lit(decimals)))
 
 
 def short_address(text: Column, head: int = 6, tail: int = 4) -> Column:

@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pennyworks.functions import formats
+from pennyworks.functions import formats, scalars
 from pennyworks.operators import chain_records, edits, files, folders, prices, valuation
+from pennyworks.sources import manual
 from pennyworks.sources.ledger_text import price_lines
 
 
@@ -118,3 +119,23 @@ def test_number_formats(spark):
     found = df.select(formats.smart(F.col("x")).alias("s"), formats.amount_of(F.col("x"), F.col("d")).alias("a"), formats.money(F.col("x")).alias("m")).collect()
     assert [r.s for r in found] == ["0.00", "123.46", "-0.0034", "0.000010", "0.0000000000", "1.50", "0.0010", "1150774.25"]
     assert [r.a for r in found][5:] == ["1.5000", "0.0010", "1150774"] and found[7].m == "1,150,774.25" and found[0].m == "0.00"
+
+
+def test_manual_ledgers(spark):
+    legs = "array<struct<account: string, amount: double, commodity: string>>"
+    rows = [("2024-01-01", "A", None, None, [("a", 1.0, "X")])] * 3 + [("2024-01-01", "A", None, "src:1", [("a", 1.0, "X")]), ("2024-01-02", "B", "n", "txn:7, src:2", []), ("2024-01-02", "B", "n", "src:mytxn:3", [])]
+    df = spark.createDataFrame(rows, f"date string, payee string, narration string, meta string, postings {legs}")
+    metas = lambda d: sorted(r.meta for r in manual.with_ids(d).collect())
+    found = metas(df)
+    assert found == metas(df.repartition(3)) == metas(manual.with_ids(df)) and len(set(found)) == 6 and "txn:7, src:2" in found
+    same = [m for m in found if m.endswith("-2") or m.endswith("-3")]
+    assert len(same) == 2 and same[0][:-2] == same[1][:-2] and same[0][:-2] in found
+    ignored = spark.createDataFrame([("txn:7",), ("c:1",), ("",), (None,), ("longer than any meta of all these",)], "id string")
+    assert sorted(str(r.meta) for r in manual.without_ignored(df, ignored).collect()) == ["None"] * 3 + ["src:mytxn:3"]
+    assert manual.without_ignored(df, ignored.limit(0)).count() == 6
+
+
+def test_base_units_of_any_length(spark):
+    units = ["1", "123456", "0", "9" * 150]
+    found = spark.createDataFrame([(u,) for u in units], "u string").select(scalars.from_base_units(F.col("u"), 6).alias("x")).collect()
+    assert [r.x for r in found] == ["0.000001", "0.123456", "0.000000", "9" * 144 + "." + "9" * 6]
