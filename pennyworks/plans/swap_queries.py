@@ -45,20 +45,43 @@ def swap_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*KEY, "commodity", F.col("sibling.l_orderkey").alias("sibling_order"), F.col("sibling.l_linenumber").alias("sibling_line"))
 
 
+#: Legs by day with their value in base, and what each would take first: a payee's before others, earlier ones before later ones.
+#: `fits` says which legs are one group, `near` which of them go together. The walk over a group's legs is a recursion that remembers the legs that are used.
+_GREEDY_SQL = """, leg AS (SELECT oid || ':' || l_linenumber || ':' || commodity || ':' || qty || ':' || net AS id, * FROM line),
+    one AS (SELECT leg.*, p.price AS p1, p.quote AS q1 FROM leg ASOF LEFT JOIN price p ON leg.commodity = p.commodity AND leg.date >= p.date),
+    worth AS (SELECT one.*, CASE q1 WHEN 'AUD' THEN qty * p1 ELSE CASE WHEN p.quote = 'AUD' THEN qty * p1 * p.price END END AS v FROM one ASOF LEFT JOIN price p ON one.q1 = p.commodity AND one.date >= p.date),
+    x AS (SELECT {group} AS g, *, CAST(ROW_NUMBER() OVER (PARTITION BY {group} ORDER BY l_orderkey, l_linenumber, id) AS INT) AS i FROM worth),
+    cand AS (SELECT a.g, a.i, list(b.i ORDER BY CASE WHEN a.payee = b.payee THEN 0 ELSE 1 END, b.i) AS js,
+      list(COALESCE(GREATEST(a.v, b.v) > 0 AND LEAST(a.v, b.v) / GREATEST(a.v, b.v) < 0.2, FALSE) ORDER BY CASE WHEN a.payee = b.payee THEN 0 ELSE 1 END, b.i) AS far
+      FROM x a JOIN x b ON a.g = b.g AND a.i < b.i AND a.commodity <> b.commodity AND {near} GROUP BY 1, 2)
+    SELECT CASE WHEN a.sgn < 0 THEN a.id ELSE b.id END AS sell, CASE WHEN a.sgn < 0 THEN b.id ELSE a.id END AS buy FROM (WITH RECURSIVE
+      size AS (SELECT g, MAX(i) AS n FROM x GROUP BY 1),
+      walk AS (SELECT g, 0 AS i, n, CAST([] AS INT[]) AS used, NULL::INT AS took FROM size
+        UNION ALL SELECT g, i, n, CASE WHEN took IS NULL THEN used ELSE list_concat(used, [took]) END, took FROM
+        (SELECT g, i, n, used, CASE WHEN list_contains(used, i) OR far[list_position(js, best)] THEN NULL ELSE best END AS took FROM
+        (SELECT w.g, w.i + 1 AS i, n, used, js, far, list_filter(js, lambda j: NOT list_contains(used, j))[1] AS best
+        FROM walk w LEFT JOIN cand c ON c.g = w.g AND c.i = w.i + 1 WHERE w.i < n)))
+      SELECT g, i, took FROM walk WHERE took IS NOT NULL) t JOIN x a ON a.g = t.g AND a.i = t.i JOIN x b ON b.g = t.g AND b.i = t.took"""
+
+
 def suggestion_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First postings with their value in base; a day has no times, so all of an account's day is within the span."""
     line = ledger.lines(spark, sf_dir).withColumn("amount", F.col("sgn") * F.col("qty"))
     valued = prices.convert(line.drop("value"), ledger.prices(spark, sf_dir), "AUD", amount="qty")
     columns = [F.concat_ws(":", "oid", "l_linenumber", "commodity", F.col("qty").cast("string"), F.col("net").cast("string")).alias("id"), F.col("date").alias("at")]
-    return valued.select("account", *columns, *KEY, "commodity", F.col("amount").cast("double").alias("amount"), "payee", F.lit(None).cast("string").alias("src"), "value")
+    return valued.select("account", *columns, *KEY, "commodity", F.col("amount").cast("double").alias("amount"), "payee", F.lit(None).cast("string").alias("src"), "value", "narration")
 
 
+@query(_GREEDY_SQL.format(group="account || ':' || date", near="a.sgn <> b.sgn"))
 def trade_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy in order of time, which SQL does not express; tested against a plain loop."""
-    return partners.suggest(suggestion_legs(spark, sf_dir), [*KEY, "id"])
+    return partners.suggest(suggestion_legs(spark, sf_dir).drop("narration"), [*KEY, "id"])
 
 
-catalog.QUERIES["trade_suggest"] = trade_suggest
+@query(_GREEDY_SQL.format(group="date", near="((a.account = b.account AND a.sgn <> b.sgn) OR (a.narration = b.narration AND a.l_linenumber = b.l_linenumber))"))
+def trade_suggest_src(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day's lines of the same number and priority share a source, whatever their accounts."""
+    src = F.concat_ws(":", "at", "narration", "l_linenumber")
+    return partners.suggest(suggestion_legs(spark, sf_dir).withColumn("src", src), [*KEY, "id"])
 
 
 def _unit_sql(day: str) -> str:

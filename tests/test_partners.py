@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pennyworks.operators import partners, prices
+from pennyworks.operators import groups, partners, prices
 from pennyworks.plans import swap_queries
 from pennyworks.sources import csv_rows, store
 
@@ -25,7 +25,7 @@ def loop(rows, seconds=60, least=0.2):
             b = rows[j]
             opposite = abs(a.amount) > 1e-9 and abs(b.amount) > 1e-9 and a.amount * b.amount < 0
             near = (when(b) - when(a)).total_seconds() <= seconds
-            if j not in used and near and a.account == b.account and a.commodity != b.commodity and (opposite or (a.src is not None and a.src == b.src)):
+            if j not in used and near and a.commodity != b.commodity and ((opposite and a.account == b.account) or (a.src is not None and a.src == b.src)):
                 fit.append(j)
         if not fit:
             continue
@@ -52,6 +52,40 @@ def test_suggestions_equal_a_loop(spark):
     assert len(found) == len(due) > 20 and set(found) == due
 
 
+def test_suggestions_across_accounts_follow_a_chain_of_sources(spark):
+    """Ten accounts that meet only through sources, in a chain, within an account too."""
+    rows = [(f"a{k}", f"acc{k}", "2024-01-01 00:00:00", "X", -1.0, None, f"s{k}", None, 2 * k) for k in range(10)]
+    rows += [(f"b{k}", f"acc{k + 1}", "2024-01-01 00:00:30", "Y", 1.0, None, f"s{k}", None, 2 * k + 1) for k in range(10)]
+    rows += [("late", "acc99", "2024-01-01 00:01:11", "Z", 1.0, None, "s0", None, 99), ("no", "acc98", "2024-01-01 00:00:10", "X", 1.0, None, "s0", None, 98)]
+    legs = spark.createDataFrame(rows, LEG).repartition(4)
+    found = {tuple(r) for r in partners.suggest(legs, ["n", "id"]).collect()}
+    assert found == loop(legs.collect())
+    assert len(found) == 10 and all("late" not in pair for pair in found)
+    empty = legs.where("false")
+    assert partners.suggest(empty, ["n", "id"]).collect() == []
+
+
+def test_connected_nodes_have_the_least_as_root(spark):
+    import random
+
+    draw = random.Random(3)
+    pairs = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000 + k) for k in range(1, 60)] + [(7, 7)]
+    root = {}
+
+    def top(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    found = {r.node: r.root for r in groups.connected(spark.createDataFrame(pairs, "a int, b int")).collect()}
+    nodes = {x for pair in pairs for x in pair}
+    assert found == {x: top(x) for x in nodes if top(x) != x}
+    assert groups.connected(spark.createDataFrame([], "a int, b int")).collect() == []
+
+
 def test_suggestions_of_the_tables_equal_a_loop(spark):
     legs = swap_queries.suggestion_legs(spark, SF).orderBy("l_orderkey", "l_linenumber", "id").withColumn("n", F.monotonically_increasing_id())
     by_account = {}
