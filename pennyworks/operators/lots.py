@@ -51,7 +51,8 @@ def match(events: DataFrame, order: list[str]) -> DataFrame:
     marks = lots.unionByName(sales).groupBy("commodity", "at").agg(F.max("lot").alias("lot"), F.min("sale").alias("sale"))
     # A commodity is cut into ranges of cumulative quantity. Each knows what comes first in later ranges and where the one before it ends.
     sizes = marks.groupBy("commodity").agg(F.max("at").cast("double").alias("top"), F.ceil(F.count("*") / ROWS).alias("parts"))
-    part = F.least(F.floor(F.col("at").cast("double") / F.col("top") * F.col("parts")), F.col("parts") - 1).cast("long")
+    share = F.try_divide(F.col("at").cast("double"), F.col("top"))  # null where all was sold without ever being held
+    part = F.least(F.floor(share * F.col("parts")), F.col("parts") - 1).cast("long")
     marks = marks.join(sizes, "commodity").withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).drop("top", "parts")
     first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"next_{c}")
     heads = marks.groupBy("commodity", "part").agg(first("lot"), first("sale"), F.max("at").alias("end"))
@@ -80,6 +81,17 @@ def remaining(events: DataFrame, order: list[str]) -> DataFrame:
     return run.where("quantity > 0").join(sold, "commodity").select("commodity", lot.alias("lot"), left.alias("left")).where(F.col("left") > EPSILON)
 
 
+def oversold(events: DataFrame, order: list[str]) -> DataFrame:
+    """commodity, sale and how much of it was `missing`, because more was sold than held."""
+    run = _running(events, order)
+    before = Window.partitionBy("commodity", "date").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast(EXACT)
+    waste = F.greatest(zero, F.coalesce(F.max(F.col("C") - F.col("A")).over(before).cast(EXACT), zero), F.coalesce(F.col("top0").cast(EXACT), zero))
+    sale = F.struct("date", *dict.fromkeys([*order, "quantity", "value"]))
+    found = run.withColumn("missing", (F.col("C") - F.col("D") - waste).cast("double")).where("quantity < 0")
+    return found.select("commodity", sale.alias("sale"), "missing").where(F.col("missing") > EPSILON)
+
+
 def gains(matches: DataFrame) -> DataFrame:
     """cost, proceeds and gain of each match, by the shares of the lot and of the disposal that it takes."""
     cost = F.col("lot.value") * F.col("taken") / F.col("lot.quantity")

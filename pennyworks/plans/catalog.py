@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pennyworks.functions import search
@@ -48,7 +48,22 @@ _search("search_free_text", "customer#0+12 .*(high|urgent)", "regexp_matches(pay
 
 @query(f"SELECT account, commodity, {_SUM} AS amount FROM posting GROUP BY 1, 2")
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.balances(ledger.postings(ledger.transactions(spark, sf_dir)))
+    return B.balances(ledger.sums_by_account(spark, sf_dir))
+
+
+@query(
+    """, o AS (SELECT 'assets:' || LOWER(REPLACE(r_name, ' ', '_')) || ':' || LOWER(REPLACE(n_name, ' ', '_')) AS account, 'USD' AS commodity, c_acctbal AS amount
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    a AS (SELECT account, commodity, amount FROM posting UNION ALL SELECT * FROM o)
+    SELECT account, commodity, CAST(SUM(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) AS amount FROM a GROUP BY 1, 2"""
+)
+def opening_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances on top of what customers' accounts open with."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    name = lambda c: F.lower(F.replace(F.col(c), F.lit(" "), F.lit("_")))
+    homes = read("customer").join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    openings = homes.select(F.concat_ws(":", F.lit("assets"), name("r_name"), name("n_name")).alias("account"), F.lit("USD").alias("commodity"), F.col("c_acctbal").alias("amount"))
+    return B.balances(ledger.sums_by_account(spark, sf_dir), openings)
 
 
 @query(f"SELECT account, commodity, {_SUM} AS amount FROM posting WHERE account = 'assets:asia' OR account LIKE 'assets:asia:%' GROUP BY 1, 2")
@@ -61,7 +76,7 @@ def balances_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM posting, range(1, 4) t(k) WHERE k <= len(string_split(account, ':')) GROUP BY 1, 2"""
 )
 def account_tree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.tree_rollup(B.balances(ledger.postings(ledger.transactions(spark, sf_dir))))
+    return B.tree_rollup(B.balances(ledger.sums_by_account(spark, sf_dir)))
 
 
 @query(
@@ -168,9 +183,10 @@ m AS (SELECT s.commodity, s.date AS sell_date, s.l_orderkey AS sell_order, s.l_l
 t AS (SELECT *, buy_net * taken / buy_q AS cost, sell_net * taken / sell_q AS proceeds FROM m WHERE taken > 1e-10)"""
 
 
-def lot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lot_events(spark: SparkSession, sf_dir: str, pool: Column | None = None) -> DataFrame:
+    """What was bought and sold, by commodity or by what else is one pool of lots."""
     line = ledger.lines(spark, sf_dir)
-    return line.select("commodity", "date", *KEY, (F.col("sgn") * F.col("qty")).alias("quantity"), F.col("net").alias("value"))
+    return line.select(F.col("commodity") if pool is None else pool.alias("commodity"), "date", *KEY, (F.col("sgn") * F.col("qty")).alias("quantity"), F.col("net").alias("value"))
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,5 +69,26 @@ def postings(txns: DataFrame) -> DataFrame:
     return txns.select(*own, F.explode("postings").alias("p")).select(*own, "p.*")
 
 
+def sums_by_account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(account, commodity, amount), summed by account, commodity and side of lines before the legs that these stand for are made, so a posting is never a row.
+
+    Amounts are decimals; an account and commodity may have several rows.
+    """
+    exact = lambda c: F.sum(F.col(c).cast("decimal(24,6)")).alias(c)
+    fees = lines(spark, sf_dir).withColumn("fee", F.when(F.col("fee") > 0, F.col("fee")))
+    sums = fees.groupBy("account", "commodity", "sgn").agg(exact("qty"), exact("net"), exact("fee"))
+    sgn = F.col("sgn")
+
+    def leg(account, amount, commodity):
+        return F.struct(account.alias("account"), amount.cast("decimal(34,6)").alias("amount"), commodity.alias("commodity"))
+
+    counter = F.when(sgn < 0, F.lit("equity:trading:sell")).otherwise(F.lit("equity:trading:buy"))
+    legs = F.array(
+        leg(F.col("account"), sgn * F.col("qty"), F.col("commodity")), leg(counter, -sgn * F.col("net"), F.lit("USD")),
+        F.when(F.col("fee").isNotNull(), leg(F.lit("expenses:fees:trading"), F.col("fee"), F.lit("USD"))),
+    )
+    return sums.select(F.explode(F.filter(legs, lambda p: p.isNotNull())).alias("p")).select("p.*")
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PRICE_SQL, **_tables(spark, sf_dir))
