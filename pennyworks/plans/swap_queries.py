@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pennyworks.operators import lots, partners, prices, reports
+from pennyworks.operators import balances as B
+from pennyworks.operators import issues, lots, partners, prices, reports
 from pennyworks.plans import catalog, ledger
 from pennyworks.plans.catalog import KEY, query
 from pennyworks.plans.report_queries import END, START
 from pennyworks.sources import csv_rows
+from pennyworks.sources.scratch import written
 
 
 @query(""", t AS (SELECT date, account, CASE WHEN sgn < 0 THEN 'sell' ELSE 'buy' END AS side, commodity, l_orderkey, CAST(SUM(CAST(qty AS DECIMAL(24,6))) AS DOUBLE) AS total FROM line GROUP BY ALL),
@@ -54,7 +56,7 @@ _GREEDY_SQL = """, leg AS (SELECT oid || ':' || l_linenumber || ':' || commodity
     cand AS (SELECT a.g, a.i, list(b.i ORDER BY CASE WHEN a.payee = b.payee THEN 0 ELSE 1 END, b.i) AS js,
       list(COALESCE(GREATEST(a.v, b.v) > 0 AND LEAST(a.v, b.v) / GREATEST(a.v, b.v) < 0.2, FALSE) ORDER BY CASE WHEN a.payee = b.payee THEN 0 ELSE 1 END, b.i) AS far
       FROM x a JOIN x b ON a.g = b.g AND a.i < b.i AND a.commodity <> b.commodity AND {near} GROUP BY 1, 2)
-    SELECT CASE WHEN a.sgn < 0 THEN a.id ELSE b.id END AS sell, CASE WHEN a.sgn < 0 THEN b.id ELSE a.id END AS buy FROM (WITH RECURSIVE
+    SELECT {shown} FROM (WITH RECURSIVE
       size AS (SELECT g, MAX(i) AS n FROM x GROUP BY 1),
       walk AS (SELECT g, 0 AS i, n, CAST([] AS INT[]) AS used, NULL::INT AS took FROM size
         UNION ALL SELECT g, i, n, CASE WHEN took IS NULL THEN used ELSE list_concat(used, [took]) END, took FROM
@@ -72,18 +74,57 @@ def suggestion_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valued.select("account", *columns, *KEY, "commodity", F.col("amount").cast("double").alias("amount"), "payee", F.lit(None).cast("string").alias("src"), "value", "narration")
 
 
-@query(_GREEDY_SQL.format(group="account || ':' || date", near="a.sgn <> b.sgn"))
+_PAIR_SQL = "CASE WHEN a.sgn < 0 THEN a.id ELSE b.id END AS sell, CASE WHEN a.sgn < 0 THEN b.id ELSE a.id END AS buy"
+
+
+@query(_GREEDY_SQL.format(shown=_PAIR_SQL, group="account || ':' || date", near="a.sgn <> b.sgn"))
 def trade_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partners.suggest(suggestion_legs(spark, sf_dir).drop("narration"), [*KEY, "id"])
 
 
-@query(_GREEDY_SQL.format(group="date", near="((a.account = b.account AND a.sgn <> b.sgn) OR (a.narration = b.narration AND a.l_linenumber = b.l_linenumber))"))
+@query(_GREEDY_SQL.format(shown=_PAIR_SQL, group="date", near="((a.account = b.account AND a.sgn <> b.sgn) OR (a.narration = b.narration AND a.l_linenumber = b.l_linenumber))"))
 def trade_suggest_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day's lines of the same number and priority share a source, whatever their accounts."""
     src = F.concat_ws(":", "at", "narration", "l_linenumber")
     return partners.suggest(suggestion_legs(spark, sf_dir).withColumn("src", src), [*KEY, "id"])
 
 
+_GIVEN = "CASE WHEN a.sgn < 0 THEN {0}.date || ' ' || CAST(CAST({0}.qty AS BIGINT) AS VARCHAR) || ' ' || {0}.commodity || ' → ' || CAST(CAST({1}.qty AS BIGINT) AS VARCHAR) || ' ' || {1}.commodity END"
+
+
+@query(_GREEDY_SQL.format(shown=f"'Suggested Trades' AS label, 'info' AS severity, NULL AS account, COALESCE({_GIVEN.format('a', 'b')}, {_GIVEN.format('b', 'a').replace('a.sgn < 0', 'a.sgn > 0')}) AS message", group="account || ':' || date", near="a.sgn <> b.sgn"))
+def suggestion_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = written(suggestion_legs(spark, sf_dir).drop("narration"), "legs")
+    return issues.suggestion_messages(partners.suggest(legs, [*KEY, "id"]), legs)
+
+
+@query(""", u AS (SELECT * FROM line WHERE l_linenumber = 1), m AS (SELECT DISTINCT account, date_trunc('month', CAST(date AS DATE)) AS m FROM line), b AS (SELECT account, MIN(m) AS lo, MAX(m) AS hi FROM m GROUP BY 1),
+    d AS (SELECT account, UNNEST(generate_series(lo, hi, INTERVAL 1 MONTH)) AS m FROM b), known AS (SELECT * FROM price WHERE NOT (commodity LIKE 'Brand_4%' AND date < '1997-01-01')),
+    one AS (SELECT line.*, p.quote AS q1 FROM line ASOF LEFT JOIN known p ON line.commodity = p.commodity AND line.date >= p.date),
+    two AS (SELECT one.*, p.quote AS q2 FROM one ASOF LEFT JOIN known p ON one.q1 = p.commodity AND one.date >= p.date)
+    SELECT 'Uncategorised' AS label, 'warning' AS severity, NULL AS account, COUNT(*) || ' uncategorised transaction' || CASE WHEN COUNT(*) = 1 THEN '' ELSE 's' END AS message FROM u HAVING COUNT(*) > 0
+    UNION ALL SELECT 'Uncategorised', 'warning', NULL, date || ' ' || payee || ' — ' || narration FROM (SELECT * FROM u ORDER BY date, l_orderkey, l_linenumber, payee, narration LIMIT 10)
+    UNION ALL SELECT 'Uncategorised', 'warning', NULL, '...and ' || (COUNT(*) - 10) || ' more' FROM u HAVING COUNT(*) > 10
+    UNION ALL SELECT CASE WHEN l_linenumber = 2 THEN split_part(account, ':', 1) ELSE 'Other' END, 'warning', CASE WHEN l_linenumber = 2 THEN split_part(account, ':', 1) ELSE 'Other' END,
+      CASE WHEN l_linenumber = 2 THEN substr(account, strpos(account, ':') + 1) || ': ' || narration ELSE narration END FROM line WHERE l_linenumber < 3
+    UNION ALL SELECT account, 'info', account, 'Missing data for: ' || string_agg(strftime(d.m, '%Y%m'), ', ' ORDER BY d.m) FROM d WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.account = d.account AND m.m = d.m) GROUP BY account
+    UNION ALL SELECT 'Unverified Balance', 'info', NULL, account || ' — no opening balance' FROM (SELECT DISTINCT account FROM line WHERE account NOT IN (SELECT account FROM line WHERE commodity = 'Brand_11' AND qty > 49 AND sgn > 0))
+    UNION ALL SELECT 'Unpriced', 'warning', NULL, commodity || ' — ' || COUNT(*) || ' postings, ' || MIN(date) || ' → ' || MAX(date) || ' (' || string_agg(DISTINCT account, ', ' ORDER BY account) || ')'
+      FROM two WHERE commodity <> 'AUD' AND NOT COALESCE(q1 = 'AUD', FALSE) AND NOT COALESCE(q2 = 'AUD', FALSE) GROUP BY commodity""")
+def issue_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of issues but suggestions and parse errors, when early prices of some brands are unknown and first lines are uncategorised."""
+    line = ledger.lines(spark, sf_dir)
+    first = line.where("l_linenumber = 1")
+    warnings = line.where("l_linenumber < 3").select(F.when(F.col("l_linenumber") == 2, F.concat_ws(": ", "account", "narration")).otherwise(F.col("narration")).alias("warning"))
+    held = line.select("account").distinct()
+    declared = line.where("commodity = 'Brand_11' and qty > 49 and sgn > 0")
+    known = ledger.prices(spark, sf_dir).where("not (commodity like 'Brand_4%' and date < '1997-01-01')")
+    return issues.all_messages(
+        issues.uncategorised_messages(first, ["date", *KEY, "payee", "narration"]), issues.warning_messages(warnings), issues.gap_messages(B.month_gaps(line)),
+        issues.unverified_messages(held, declared), issues.unpriced_messages(line, known, "AUD"),
+    )
+
+
 def _unit_sql(day: str) -> str:
     return f"SELECT commodity, arg_max(price, date) AS unit FROM price WHERE date <= '{day}' AND quote = 'USD' GROUP BY 1"
 

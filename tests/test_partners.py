@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pennyworks.operators import groups, partners, prices
+from pennyworks.operators import groups, issues, partners, prices
 from pennyworks.plans import swap_queries
 from pennyworks.sources import csv_rows, store
 
@@ -154,3 +154,21 @@ def test_as_of_over_months_without_prices(spark):
     for first, due in ((False, [None, None, 1.0, 2.0, 2.0, 2.0, 3.0, 3.0, None, None]), (True, [1.0, 1.0, 1.0, 2.0, 2.0, 2.0, 3.0, 3.0, None, None])):
         found = {r.day: r.p and r.p.price for r in prices.as_of(asked, quotes, "c", "day", "p", first_if_none=first).collect()}
         assert found == dict(zip(days, due))
+
+
+def test_issue_messages(spark):
+    found = spark.createDataFrame([("file:/a/b/2020.ledger", 0, 7, "x", "bad date")], "file string, chunk int, n int, value string, problem string")
+    assert [tuple(r) for r in issues.parse_messages(found).collect()] == [("Parse Errors", "error", None, "line 0.7 — bad date (2020.ledger)")]
+    txns = spark.createDataFrame([("2020-01-02", None, "n", 2), ("2020-01-01", "p", None, 1)], "date string, payee string, narration string, k int")
+    texts = lambda df: [r.message for r in df.collect()]
+    assert sorted(texts(issues.uncategorised_messages(txns, ["k"], most=1))) == ["...and 1 more", "2 uncategorised transactions", "2020-01-01 p — "]
+    assert texts(issues.uncategorised_messages(txns.where("k = 2"), ["k"])) == ["1 uncategorised transaction", "2020-01-02  — n"]
+    assert texts(issues.uncategorised_messages(txns.where("false"), ["k"])) == []
+    warnings = spark.createDataFrame([("a:b: c",), ("plain",), (None,)], "warning string")
+    assert {(r.label, r.message) for r in issues.warning_messages(warnings).collect()} == {("a", "b: c"), ("Other", "plain"), ("Other", None)}
+    legs = spark.createDataFrame([("s", "2020-01-01 10:00:00", "BTC", -0.5), ("b", "2020-01-01 10:00:30", "AUD", 1000.0)], "id string, at string, commodity string, amount double")
+    pairs = spark.createDataFrame([("s", "b")], "sell string, buy string")
+    assert texts(issues.suggestion_messages(pairs, legs)) == ["2020-01-01 0.5 BTC → 1000 AUD"]
+    postings = spark.createDataFrame([("2020-01-01", "a:x", "N"), ("2020-01-03", "a:w", "N"), ("2020-01-02", "a:x", "AUD"), ("2020-01-02", "a:x", ""), ("2020-01-02", "a:x", None), ("2020-01-05", "a:x", "P")], "date string, account string, commodity string")
+    quotes = spark.createDataFrame([("P", "2020-01-04", 2.0, "AUD")], "commodity string, date string, price double, quote string")
+    assert texts(issues.unpriced_messages(postings, quotes, "AUD")) == ["N — 2 postings, 2020-01-01 → 2020-01-03 (a:w, a:x)"]
