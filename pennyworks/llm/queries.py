@@ -21,28 +21,34 @@ URL_RULES = [
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its sequence and its place there; a null text is empty."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL, by the given rules or by mined ones; a URL that is null or without a host has empty parts."""
     return url_rules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op3_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of every document's ids, and whether they decode to its text."""
     decoded = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents")))
     text = F.coalesce("text", F.lit(""))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", (F.col("decoded") == text).alias("round_trip"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; those that cannot be compared link with nothing."""
     return embedding_dedup.cluster(table(spark, sf_dir, "embeddings"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles and component of every document; texts without words link with nothing."""
     return ngram_jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of every document's personal data; a null text has none."""
     found = pii.spans(table(spark, sf_dir, "documents"))
     kinds = F.transform("base", lambda s: s["kind"])
     n = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
@@ -51,18 +57,22 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, empty ones too."""
     return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and whether it is kept; a null text has no words and is not."""
     return weak_quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; a null page has an empty one."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, empty ones too."""
     return toxicity_chain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
