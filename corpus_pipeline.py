@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars, where there is such a column, is counted anew, and is null with the text.
 
-    Of spans that overlap the leftmost is replaced. A text without personal data, an empty or a null one stays as it is."""
+    Where spans overlap, the first one's kind stands for all that they cover. A text without personal data, an empty or a null one stays as it is."""
     found = pii.redact(docs)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 

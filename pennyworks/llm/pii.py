@@ -261,7 +261,11 @@ def _mask(text: str | None) -> str | None:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """documents with each span replaced by its kind, as in `<EMAIL>`; rows, order and other columns stay."""
+    """documents with each span replaced by its kind, as in `<EMAIL>`; rows, order and other columns stay.
+
+    Where spans overlap, the first one's kind stands for all that they cover; of equal starts the kind that KINDS lists first. Texts are read whole, however long;
+    null and empty ones stay, repeated rows are treated alike, and an empty table gives an empty one.
+    """
     names, at = documents.columns, documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

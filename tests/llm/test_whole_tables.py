@@ -112,3 +112,16 @@ def test_counts_of_words_lines_and_symbols_equal_a_loop(spark, db):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == due
         failed = len(words) < 10 or 100 * len(repeated) > 20 * len(words)
         assert r.base_failed == failed and not (failed and r.kept)
+
+
+def test_personal_data_without_counted_characters(spark):
+    import corpus_pipeline
+
+    rows = [(1, "mail a@b.de now", 5), (2, None, None), (3, "", 7), (1, "mail a@b.de now", 5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, kind int")
+    found = [tuple(r) for r in corpus_pipeline.personal_data(spark, docs, "").collect()]
+    due = (1, "mail <EMAIL> now", 5)
+    assert sorted(found, key=repr) == sorted([due, (2, None, None), (3, "", 7), due], key=repr)
+    assert corpus_pipeline.personal_data(spark, docs.where("false"), "").collect() == []
+    counted = corpus_pipeline.personal_data(spark, docs.withColumn("n_chars", docs.kind.cast("long")), "")
+    assert sorted((r.doc_id, r.n_chars) for r in counted.where("text is not null").collect()) == [(1, 16), (1, 16), (3, 0)]
