@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pennyworks.functions.formats import exact
 from pennyworks.operators import prices, report_lines
 from pennyworks.plans import catalog, ledger
 from pennyworks.plans.catalog import KEY, query
@@ -135,6 +136,6 @@ def balances_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = ledger.lines(spark, sf_dir).where(F.col("date") <= END).groupBy("commodity").agg(F.sum((F.col("sgn") * F.col("qty")).cast("decimal(24,6)")).cast("double").alias("quantity"))
     quotes = ledger.prices(spark, sf_dir).where((F.col("quote") == "USD") & (F.col("date") <= END)).groupBy("commodity").agg(F.max_by("price", "date").alias("price"), F.max("date").alias("price_date"))
     rows = held.join(quotes, "commodity").withColumn("value", F.col("quantity") * F.col("price"))
-    whole = rows.agg(F.sum(F.col("value").cast("decimal(30,8)")).cast("double").alias("whole"))
+    whole = rows.agg(F.sum(exact(F.col("value"), 8).cast("decimal(30,8)")).cast("double").alias("whole"))
     rows = rows.join(F.broadcast(whole)).withColumn("weight", F.col("value") / F.col("whole"))  # one row
     return report_lines.holding_lines(rows, "USD", END).select("commodity", "line")
