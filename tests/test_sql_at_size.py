@@ -22,3 +22,17 @@ def test_decimals_of_doubles_equal_sql(spark):
     assert [tuple(r) for r in found.orderBy("i").collect()] == due
     huge = spark.createDataFrame([(3e20,)], "v double").select(formats.fixed(F.col("v"), 2).alias("t")).first().t
     assert huge == "300000000000000000000.00"
+
+
+def test_sums_of_an_income_report_equal_sql(spark):
+    from pennyworks.operators import report_lines
+
+    values = [3947392.8449999997, 119617.97 * 33, 26766037.224015605]
+    rows = spark.createDataFrame([("A", "1996-10-14", k, "assets:a", "income:b", 1.0, v, v, False) for k, v in enumerate(values)], "commodity string, date string, n int, asset string, account string, quantity double, price double, value double, expense boolean")
+    lines = [r.line for r in report_lines.income_lines(rows, ["n"], "1997").orderBy(*report_lines.SORT).collect()]
+    db = duckdb.connect()
+    two = lambda sql: db.execute(f"SELECT CAST(CAST(CAST({sql} AS DECIMAL(38,10)) AS DECIMAL(38,2)) AS VARCHAR)").fetchall()[0][0]
+    total = two("(SELECT CAST(SUM(CAST(v AS DECIMAL(30,8))) AS DOUBLE) FROM (VALUES " + ", ".join(f"(CAST('{v!r}' AS DOUBLE))" for v in values) + ") t(v))")
+    for v in values:
+        assert any(line.endswith("," + two(f"CAST('{v!r}' AS DOUBLE)")) for line in lines)
+    assert f"Section Total,,,,,,{total}" in lines
