@@ -137,7 +137,7 @@ def _unit_sql(day: str) -> str:
     SELECT commodity, ROUND(realised, 4) AS realised, ROUND(total_gain - realised, 4) AS unrealised, ROUND(total_gain, 4) AS total_gain FROM w""")
 def performance_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = catalog.lot_events(spark, sf_dir)
-    matches = lots.gains(lots.match(events, [*KEY, "quantity", "value"]))
+    matches = lots.gains(lots.match(events, [*KEY, "quantity", "value"], (START, END)))
     return reports.attribution(events, matches, ledger.prices(spark, sf_dir), START, END, "USD")
 
 
