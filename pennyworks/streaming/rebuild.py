@@ -16,7 +16,7 @@ NAMES = "path string, modificationTime timestamp, length long, content binary"
 def folder_txns(spark: SparkSession, source: str, folders: list[str]) -> DataFrame:
     """Transactions(account, folder, ...) of some folders `folder=NAME` of ledger text; only their files are listed and read."""
     lines = ledger_text.read_lines(spark, [f"{source}/folder={name}" for name in folders])
-    txns = ledger_text.parse_lines(lines)
+    txns = ledger_text.parse_lines(lines, in_order=True)
     account = F.coalesce(F.get("postings", F.lit(0))["account"], F.lit("none"))
     return txns.withColumn("account", account).withColumn("folder", F.regexp_extract("file", "/folder=([^/]+)/", 1))
 

@@ -1,3 +1,4 @@
+import gzip
 import math
 import random
 from decimal import Decimal
@@ -160,3 +161,26 @@ def test_value_chain(spark):
         ("half", 0): (7.5, "sibling", False), ("far", 0): (7.5, "own", False), ("own", 0): (120.0, "own", False), ("none", 0): (0.0, "none", False),
         ("moved", 0): (120.0, "own", True), ("moved", 1): (120.0, "own", True), ("odd", 0): (9.0, "cost", False),
     }
+
+
+def test_text_is_cut_where_it_is_read(spark, tmp_path):
+    """Lines of a file meet no shuffle; blocks do not depend on how many lines come at once, nor a folder's order on how many files it has."""
+    (tmp_path / "a.txt").write_text("".join(f'2024-01-01 "p{k}" ; txn:{k}\n' + f"    assets:a  {k} USD\n" * (k % 5) + "; note\n" * (k % 2) + "\n   \n    stray 1\n" * (k % 3 == 0) for k in range(60)))
+    (tmp_path / "b.txt").write_text("no header\n\n    here\n" * 40)
+    due, before = [(k, f"p{k}", k % 5) for k in range(60)], {c: spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.files.maxPartitionBytes")}
+    try:
+        for at_once, size in ((1, "1000000"), (7, "300"), (10000, "97"), (10000, "1000000")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            txns = ledger_text.read(spark, str(tmp_path))
+            assert [(r.ord, r.payee, len(r.postings)) for r in txns.orderBy("ord").collect()] == due
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    plan = txns._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan and "hashpartitioning" not in plan
+    rows = spark.createDataFrame([(f"2024-01-{k % 28 + 1:02d}", f"txn:{k:03d}", [("assets:a", 1.0, "USD")]) for k in range(300)], "date string, meta string, postings array<struct<account: string, amount: double, commodity: string>>")
+    rows = rows.selectExpr("*", "'here' as folder", "cast(null as string) as status", "'p' as payee", "'n' as narration")
+    ledger_text.write(rows, str(tmp_path / "out"))
+    heads = [line.split(" ; ") for f in sorted((tmp_path / "out/folder=here").glob("*.gz")) for line in gzip.decompress(f.read_bytes()).decode().split("\n") if ";" in line]
+    assert [(h[0][:10], h[1]) for h in heads] == sorted((r.date, r.meta) for r in rows.collect())
