@@ -63,7 +63,8 @@ def update(spark: SparkSession, txns: DataFrame, path: str, touched: DataFrame |
             return False
         todo = txns.alias("a").join(changed.alias("b"), _same("a", "b", *KEY), "left_semi")
         now = now.unionByName(mark).join(F.broadcast(versions.agg((F.max("version") + 1).alias("version"))))
-    todo.repartition(*KEY).write.partitionBy(*KEY).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/txns")
+    # A large folder is written by several tasks, as one does not hold it.
+    todo.hint("rebalance", *KEY).write.partitionBy(*KEY).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/txns")
     now.write.mode("append").parquet(f"{path}/digests")
     return True
 
