@@ -172,3 +172,28 @@ def test_issue_messages(spark):
     postings = spark.createDataFrame([("2020-01-01", "a:x", "N"), ("2020-01-03", "a:w", "N"), ("2020-01-02", "a:x", "AUD"), ("2020-01-02", "a:x", ""), ("2020-01-02", "a:x", None), ("2020-01-05", "a:x", "P")], "date string, account string, commodity string")
     quotes = spark.createDataFrame([("P", "2020-01-04", 2.0, "AUD")], "commodity string, date string, price double, quote string")
     assert texts(issues.unpriced_messages(postings, quotes, "AUD")) == ["N — 2 postings, 2020-01-01 → 2020-01-03 (a:w, a:x)"]
+
+
+def test_pooled_swaps_are_dealt_by_their_number(spark, monkeypatch):
+    """A task's share does not grow with the legs; nulls meet nothing; partners equal a loop over all pairs."""
+    import random
+
+    draw = random.Random(9)
+    rows = [(draw.choice(["d1", "d2", None]), draw.choice(["X", "Y", "Z", None]), k // 3, float(draw.choice([-3, -2, -1, 0, 1, 2, 4]))) for k in range(240)]
+    monkeypatch.setattr(partners, "ROWS", 10)
+    found = partners.pooled_swaps(spark.createDataFrame(rows, "day string, commodity string, txn int, amount double"), ["day"], ["txn"])
+    assert found.rdd.getNumPartitions() > 8
+    totals, ranked = {}, {}
+    for day, commodity, txn, amount in rows:
+        if amount and day and commodity:
+            key = (day, "sell" if amount < 0 else "buy", commodity)
+            totals.setdefault(key, {})[txn] = totals.get(key, {}).get(txn, 0) + abs(amount)
+    for key, sums in totals.items():
+        for k, (total, txn) in enumerate(sorted((v, t) for t, v in sums.items())):
+            ranked[(*key, k)] = (total, txn)
+    due = set()
+    for (day, side, commodity, k), (total, txn) in ranked.items():
+        others = [(c, *v) for (d, s, c, j), v in ranked.items() if (d, j) == (day, k) and s != side and c != commodity]
+        if others:
+            due.add((day, side, commodity, txn, total, max(others), max(others)[1] / total))
+    assert {(r.day, r.side, r.commodity, r.txn, r.total, tuple(r.partner), r.unit) for r in found.collect()} == due and len(due) == found.count() > 40
