@@ -197,3 +197,12 @@ def test_pooled_swaps_are_dealt_by_their_number(spark, monkeypatch):
         if others:
             due.add((day, side, commodity, txn, total, max(others), max(others)[1] / total))
     assert {(r.day, r.side, r.commodity, r.txn, r.total, tuple(r.partner), r.unit) for r in found.collect()} == due and len(due) == found.count() > 40
+
+
+def test_only_times_are_ordered_to_cut_accounts(spark, monkeypatch):
+    """An account's legs of one time are a row where it is cut, however many they are."""
+    seen, sessions = [], partners.links.sessions
+    monkeypatch.setattr(partners.links, "sessions", lambda rows, *rest: (seen.append(rows.count()), sessions(rows, *rest))[1])
+    rows = [(f"t{k}", f"acc{k % 2}", f"2024-01-01 00:{k % 6 // 2 * 10:02d}:00", "XY"[k % 4 // 2], [1.0, -1.0][k // 2 % 2], None, "s", None, k) for k in range(120)]
+    found = partners.suggest(spark.createDataFrame(rows, LEG), ["n", "id"]).count()
+    assert seen == [6, 6] and found > 20
