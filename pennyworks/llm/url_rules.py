@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pennyworks.llm.common import ascii_lower
+from pennyworks.sources.scratch import written
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
 #: FP-growth lists all subsets of a basket, so the items of a labelled URL that has more go in as several baskets, and what comes out is counted again.
 BASKET = 12
-#: Items of a rule, at most; with the support and BASKET this bounds how many rules there can be, some 80,000.
+#: Items of a rule that FP-growth may propose; longer ones come from _whole().
 MOST_ITEMS = 4
 ALLOW, BLOCK = "allow", "block"
 
@@ -103,7 +104,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     """Rules from labelled(tokens, verdict).
 
     Every item of every labelled URL takes part, and figures of rules are over all labelled URLs, whatever the size of any of them: a URL of more
-    than BASKET items is several baskets, which neighbouring tokens share, and rules are then counted again on whole URLs.
+    than BASKET items is several baskets, which neighbouring tokens share, and rules are then counted again on whole URLs. What this leaves out is found by _whole().
     """
     known = labelled.where("verdict is not null")
     total = known.count()
@@ -126,7 +127,35 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rules = rules.select("antecedent", F.substring(verdict, 9, 100).alias("verdict"), "confidence", "support")
     if split:
         rules = _recounted(rules.select("antecedent", "verdict"), sets, total).where((F.col("support") * total >= least - 0.5) & (F.col("confidence") >= min_confidence))
-    return prune([Mined(tuple(sorted(first_of[t] for t in r.antecedent)), r.verdict, r.confidence, r.support) for r in rules.collect()])
+    found = [(tuple(r.antecedent), r.verdict, r.confidence, r.support) for r in rules.collect()] + _whole(sets, total, least, min_confidence)
+    return prune([Mined(tuple(sorted(first_of[t] for t in own)), v, confidence, support) for own, v, confidence, support in found])
+
+
+def _whole(sets: DataFrame, total: int, least: int, min_confidence: float) -> list[tuple]:
+    """(items, verdict, confidence, support) of the rules over sets(own, v) that prune() can keep, of any number of items and from whole URLs: what baskets and MOST_ITEMS leave out.
+
+    Level by level, from sets that may have a better longer one: often enough with a verdict, not sure of one, and in fewer URLs than each set of one item less. Of
+    any other set the longer ones are no surer than a rule of fewer items, so nothing is lost. Like URLs are one row.
+    """
+    urls = written(sets.groupBy("own", "v").agg(F.count("*").alias("w")).withColumn("own", F.array_sort("own")), "url-sets")
+    now, before, rules, size = urls.select("own", "v", "w", F.explode(F.transform("own", lambda t: F.array(t))).alias("set")), None, [], 1
+    while True:
+        hits = now.groupBy("set", "v").agg(F.sum("w").alias("hits"))
+        counted = hits.groupBy("set").agg(F.sum("hits").alias("n"), F.max("hits").alias("most"), F.collect_list(F.struct("v", "hits")).alias("by")).where(F.col("most") >= least)
+        if before is not None:
+            parts = counted.select("set", "n", F.explode("set").alias("t")).withColumn("part", F.array_except("set", F.array("t")))
+            fewer = parts.join(before.select(F.col("set").alias("part"), F.col("n").alias("m")), "part").where("n < m").groupBy("set").agg(F.count("*").alias("k"))
+            counted = counted.join(fewer.where(F.col("k") == size).select("set"), "set", "left_semi")
+        counted = written(counted, f"sets-{size}")
+        sure = counted.select("set", "n", F.explode("by").alias("b")).where((F.col("b.hits") >= least) & (F.col("b.hits") / F.col("n") >= min_confidence))
+        rules += [(tuple(r.set), r.v, r.hits / r.n, r.hits / total) for r in sure.select("set", F.substring("b.v", 9, 100).alias("v"), "b.hits", "n").collect()]
+        before = counted.where("most < n").select("set", "n")
+        if before.isEmpty():
+            return rules
+        last = F.element_at("set", -1)
+        longer = F.transform(F.filter("own", lambda t: t > last), lambda t: F.concat("set", F.array(t)))
+        now, size = now.join(before.select("set"), "set", "left_semi").select("own", "v", "w", F.explode(longer).alias("set")), size + 1
+        now = written(now, "url-sets")
 
 
 def _recounted(rules: DataFrame, sets: DataFrame, total: int) -> DataFrame:

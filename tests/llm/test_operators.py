@@ -546,3 +546,22 @@ def test_pipeline_keeps_clean_documents(spark):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert 0.5 * len(rows) < len(kept) <= len(rows)
     assert len(kept) == len({hashlib.sha1((rows[k] or "").encode()).digest() for k in kept})
+
+
+def test_url_rules_of_any_size(spark):
+    """Rules of more items than FP-growth may propose are there, and all that are kept equal those of all sets by brute force."""
+    from itertools import combinations
+
+    rng = random.Random(3)
+    rows = [([f"t{j}" for j in range(5) if bits >> j & 1] or ["none"], "block" if bits == 31 else "allow") for bits in range(32)] * 3
+    rows += [(["a", "z"], "block") if k % 2 else ([rng.choice("az")], "allow") for k in range(40)]
+    short = [(set(own), v) for own, v in rows]
+    mined = {(frozenset(t for item in m.items for t in item), m.verdict) for m in url_rules.mine(spark.createDataFrame([(sorted(own), v) for own, v in short], "tokens array<string>, verdict string"), 0.02, 0.9)}
+    due, names = [], sorted(set().union(*(own for own, _ in short)))
+    for size in range(1, 7):
+        for own in map(frozenset, combinations(names, size)):
+            held = [v for o, v in short if own <= o]
+            for v in ("allow", "block"):
+                if held.count(v) >= 3 and held.count(v) >= 0.9 * len(held) and not any(k <= own and w == v and c >= held.count(v) / len(held) for k, w, c in due):
+                    due.append((own, v, held.count(v) / len(held)))
+    assert mined == {(own, v) for own, v, _ in due} and (frozenset(["t0", "t1", "t2", "t3", "t4"]), "block") in mined
