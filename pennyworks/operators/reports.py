@@ -8,9 +8,10 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pennyworks.operators import prices
+from pennyworks.operators import lots, prices
 from pennyworks.operators.balances import total
 from pennyworks.operators.lots import EPSILON
+from pennyworks.sources.scratch import written
 
 #: Last segments of accounts that only pass money on.
 PASSING = ("transfer", "lending", "bridge", "wrap", "staking")
@@ -85,29 +86,26 @@ def performance_points(postings: DataFrame, quotes: DataFrame, start: str, end:
     return valued(held.where(F.abs("quantity") >= EPSILON), quotes, base).groupBy("date").agg(F.count("*").alias("n"), money("value").alias("value"))
 
 
-def attribution(events: DataFrame, matches: DataFrame, quotes: DataFrame, start: str, end: str, base: str) -> DataFrame:
+def attribution(events: DataFrame, order: list[str], quotes: DataFrame, start: str, end: str, base: str, names: DataFrame | None = None) -> DataFrame:
     """What each commodity gained in a window: realised, unrealised and in all.
 
-    events(commodity, date, quantity, value) are what was bought and sold, matches the lots of sales. Lots from before the window cost what they
-    were worth on the day before it, so the whole is the value at the end less that at the start and what was put in.
+    events(commodity, date, quantity, value) are what was bought and sold, in the order of lots.match. Lots from before the window cost what they
+    were worth on the day before it, so the whole is the value at the end less that at the start and what was put in. Events after the window only make
+    their commodity a row; so they are looked for only if one of `names`, all commodities that may have events, has none before.
     """
     before = (date.fromisoformat(start) - timedelta(days=1)).isoformat()
-    within, bought = F.col("date").between(start, end), F.col("quantity") > 0
-    part = lambda when, c: F.coalesce(F.sum(F.when(when, F.col(c).cast("decimal(24,6)"))), F.lit(0)).cast("double")
-    held = events.groupBy("commodity").agg(
-        part(F.col("date") < start, "quantity").alias("q0"), part(F.col("date") <= end, "quantity").alias("q1"),
-        part(within & bought, "value").alias("paid"), part(within & ~bought, "value").alias("received"),
-    )
-    held = held.withColumn("one", F.lit(1.0)).withColumn("day0", F.lit(before)).withColumn("day1", F.lit(end))
-    priced = prices.convert(held, quotes, base, amount="one", at="day0").withColumnRenamed("value", "unit0")
-    priced = prices.convert(priced, quotes, base, amount="one", at="day1").withColumnRenamed("value", "unit1")
-    old, sold = F.col("lot.date") < start, matches.where(F.col("sale.date").between(start, end))
-    sold = sold.groupBy("commodity").agg(F.sum("proceeds").alias("got"), F.sum(F.when(old, F.col("taken"))).alias("old"), F.sum(F.when(~old, F.col("cost"))).alias("spent"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    quotes = written(quotes.where(F.col("date") <= end).select("commodity", "date", "price", "quote"), "quotes")
+    sums = written(lots.turnover(events, order, start, end), "sums")
+    rest = (events if names is None else names).where("commodity is not null").select("commodity").distinct().join(sums, "commodity", "left_anti")
+    if not rest.isEmpty():
+        sums = sums.unionByName(events.join(rest, "commodity", "left_semi").select("commodity").distinct(), allowMissingColumns=True).na.fill(0.0)
+    held = sums.withColumn("one", F.lit(1.0)).withColumn("day0", F.lit(before)).withColumn("day1", F.lit(end))
+    priced = prices.convert(held, quotes, base, amount="one", at="day0", held=True).withColumnRenamed("value", "unit0")
+    priced = prices.convert(priced, quotes, base, amount="one", at="day1", held=True).withColumnRenamed("value", "unit1")
     value = lambda k: F.when(F.abs(f"q{k}") < EPSILON, 0.0).otherwise(F.col(f"q{k}") * F.col(f"unit{k}"))
-    realised = zero("got") - zero("spent") - F.when(zero("old") < EPSILON, 0.0).otherwise(F.col("old") * F.col("unit0"))
+    realised = F.col("got") - F.col("spent") - F.when(F.col("old") < EPSILON, 0.0).otherwise(F.col("old") * F.col("unit0"))
     total_gain = value(1) - value(0) - F.col("paid") + F.col("received")
-    found = priced.join(sold, "commodity", "left").select("commodity", realised.alias("realised"), (total_gain - realised).alias("unrealised"), total_gain.alias("total_gain"))
+    found = priced.select("commodity", realised.alias("realised"), (total_gain - realised).alias("unrealised"), total_gain.alias("total_gain"))
     return found.where("total_gain is not null").select("commodity", *(F.round(c, k).alias(c) for c, k in (("realised", 4), ("unrealised", 4), ("total_gain", 4))))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pennyworks.operators import balances as B
-from pennyworks.operators import issues, lots, partners, prices, reports
+from pennyworks.operators import issues, partners, prices, reports
 from pennyworks.plans import catalog, ledger
 from pennyworks.plans.catalog import KEY, query
 from pennyworks.plans.report_queries import END, START
@@ -136,9 +136,8 @@ def _unit_sql(day: str) -> str:
     w AS (SELECT commodity, COALESCE(realised, 0) AS realised, q1 * u1.unit - q0 * u0.unit - paid + received AS total_gain FROM h JOIN u0 USING (commodity) JOIN u1 USING (commodity) LEFT JOIN s USING (commodity))
     SELECT commodity, ROUND(realised, 4) AS realised, ROUND(total_gain - realised, 4) AS unrealised, ROUND(total_gain, 4) AS total_gain FROM w""")
 def performance_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = catalog.lot_events(spark, sf_dir)
-    matches = lots.gains(lots.match(events, [*KEY, "quantity", "value"], (START, END)))
-    return reports.attribution(events, matches, ledger.prices(spark, sf_dir), START, END, "USD")
+    order = [*KEY, "quantity", "value"]
+    return reports.attribution(ledger.trades(spark, sf_dir), order, ledger.prices(spark, sf_dir), START, END, "USD", ledger.commodities(spark, sf_dir))
 
 
 @query("""SELECT 'txn:csv-' || SUBSTRING(sha256('o' || ':' || oid || '/' || l_linenumber), 1, 12) AS meta, date, payee, CAST(COALESCE(status, '') = '*' AS INT) + 2 AS legs,
