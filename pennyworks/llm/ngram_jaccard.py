@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pennyworks.llm.common import by_size, discard, drop_ids, materialize
+from pennyworks.llm.common import by_size, discard, drop_ids, materialize, slices, small_batches
 from pennyworks.llm.components import connected_components
 
 WORDS = 5
@@ -48,8 +48,8 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-#: Rows that a task holds as Python objects at a time, words whose hashes it remembers, and their length at most.
-ROWS_AT_ONCE, WORDS_REMEMBERED, WORD_BYTES = 256, 150_000, 64
+#: Words whose hashes a task remembers, and their length at most.
+WORDS_REMEMBERED, WORD_BYTES = 150_000, 64
 
 
 class _WordHashes(dict):
@@ -64,12 +64,6 @@ class _WordHashes(dict):
         return value
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
-
-
 def shingles(text: str | None, words: _WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's 5-word shingles; of all words if there are fewer."""
     words = _WordHashes() if words is None else words
@@ -128,7 +122,7 @@ def _profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, seen = _WordHashes(), shared.value, set()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = shingles(text.as_py(), words)
@@ -141,7 +135,7 @@ def _profiles(docs: DataFrame, common: np.ndarray) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "sid", "n", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, sid long, n long, bits binary, prefix array<long>")
+    return small_batches(docs).mapInArrow(run, "doc_id long, sid long, n long, bits binary, prefix array<long>")
 
 
 def _common(docs: DataFrame) -> np.ndarray:
@@ -163,7 +157,7 @@ def _common(docs: DataFrame) -> np.ndarray:
 
 
 def _may_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         a, na, ba, b, nb, bb = (c.to_pylist() for c in batch.columns)
         ok = [(OF + NEED) * most_overlap(*x) >= NEED * (x[0] + x[2]) for x in zip(na, ba, nb, bb, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -185,7 +179,7 @@ class _Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _WordHashes()
-            for batch in _slices(batches):
+            for batch in slices(batches):
                 found = [shingles(text.as_py(), words) for text in batch.column(1)]
                 keep = [k for k, (h, sid) in enumerate(zip(found, batch.column(0).to_pylist(), strict=True)) if set_id(h) == sid]
                 sid = batch.column(0).take(pa.array(keep, pa.int64()))
@@ -193,7 +187,7 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([sid, hashes], names=["sid", "hashes"])
 
         texts = self.docs.join(by_size(wanted), "doc_id").select("sid", "text")
-        sets = materialize(texts.mapInArrow(run, "sid long, hashes array<long>"), "shingle-sets")
+        sets = materialize(small_batches(texts).mapInArrow(run, "sid long, hashes array<long>"), "shingle-sets")
         self.used += [wanted, sets]
         return sets if sets.count() <= wanted.count() else sets.dropDuplicates(["sid"])  # only a repeated doc_id gives a set twice
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pennyworks.llm.common import materialize
+from pennyworks.llm.common import materialize, slices, small_batches
 
 SEQUENCE_TOKENS = 2048
 SEPARATOR_ID = 0
@@ -84,7 +84,7 @@ def piece_table(docs: DataFrame, max_tokens: int = SEQUENCE_TOKENS) -> DataFrame
     """One row per piece: doc_id, piece, start, length, ids_crc32. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             columns: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(SEPARATOR_ID)).astype("<u4")
@@ -96,7 +96,7 @@ def piece_table(docs: DataFrame, max_tokens: int = SEQUENCE_TOKENS) -> DataFrame
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECE_SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, PIECE_SCHEMA)
 
 
 def best_fit(

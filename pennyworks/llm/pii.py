@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pennyworks.llm.common import slices, small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
 
@@ -239,13 +241,13 @@ def spans(documents: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [find(t.as_py()) for t in batch.column(1)]
             columns = [pa.array([[dict(zip(("start", "end", "kind"), s, strict=True)) for s in f[k]] for f in found], kind) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "base", "all"])
 
     span = "array<struct<start: long, end: long, kind: string>>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, base {span}, all {span}")
+    return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, base {span}, all {span}")
 
 
 def _mask(text: str | None) -> str | None:
@@ -269,11 +271,11 @@ def redact(documents: DataFrame) -> DataFrame:
     names, at = documents.columns, documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             text = pa.array([_mask(t.as_py()) for t in batch.column(at)], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(batch.columns)], names=names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)
 
 
 def digest(spans_column: str):

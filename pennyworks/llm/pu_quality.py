@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pennyworks.llm.common import fold_of
+from pennyworks.llm.common import fold_of, slices, small_batches
 
 #: Bounds of the two learning samples, of trusted positives and of the unlabelled, taken in the order of a hash of the id.
 SAMPLE_ROWS, UNLABELLED_ROWS = 8_000, 8_000
@@ -182,13 +182,13 @@ def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     chosen = trusted.select("doc_id", F.lit(1).alias("trusted")).unionByName(web.select("doc_id", F.lit(0).alias("trusted")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = _matrix(batch.column(1).to_pylist())
             arrays = [batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["trusted", "x"])
 
     sample = texts.join(F.broadcast(chosen), "doc_id").select("trusted", "text")
-    rows = sample.mapInArrow(run, "trusted int, x array<double>").collect()
+    rows = small_batches(sample).mapInArrow(run, "trusted int, x array<double>").collect()
     rows.sort(key=lambda r: (r.trusted, r.x))  # the folds must not depend on the order that rows arrive in
     shuffled = np.random.default_rng(0).permutation(len(rows))
     rows = [rows[k] for k in shuffled]
@@ -209,11 +209,11 @@ def score(documents: DataFrame, model: Model, into: str = "score") -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = pa.array(model.score(_matrix(batch.column(at).to_pylist())))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*names, into])
 
-    return documents.mapInArrow(run, schema)
+    return small_batches(documents).mapInArrow(run, schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
