@@ -3,8 +3,8 @@
 Unit vectors are assigned to the centroid of largest cosine. A vector also visits each cell of a lower
 number whose bisecting plane lies within the largest distance that two linked vectors can have, so no
 link between cells is lost and each is found once. Where there are many vectors, every cell is parted again by
-centroids of its own under the same rule, so that the number of cells grows with the rows. Cells are cut into blocks of
-bounded size, and each pair of blocks is one matrix product. Blocks return counts and a spanning forest, never all pairs.
+centroids of its own under the same rule, so that the number of cells grows with the rows. A cell's vectors at home and its guests are cut into blocks of
+bounded size; blocks whose vectors may meet there are multiplied, tile by tile, and guests of the same level never are. Tiles return counts and a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pennyworks.llm.common import by_size, materialize
@@ -25,7 +25,8 @@ from pennyworks.llm.components import connected_components
 COSINE = 0.93
 #: Centroids are fitted on at most so many vectors a cell, and so many for the first level, taken in the order of a hash of the vector.
 SAMPLE_ROWS, SAMPLE_A_CELL = 20_000, 16
-CELL_ROWS, BLOCK_ROWS = 2_000, 2_048
+#: Vectors of a cell, of a block (fewer if these are longer than BLOCK_BYTES), and of a side of a matrix product.
+CELL_ROWS, BLOCK_ROWS, BLOCK_BYTES, TILE = 16_384, 8_192, 4 << 20, 2_048
 #: Cells of the first level, and bytes of all centroids, which are broadcast.
 TOP_CELLS, CENTROID_BYTES = 256, 32 << 20
 
@@ -137,29 +138,72 @@ def _assign(nodes: DataFrame, centroids: dict[int, Cells], cosine: float) -> Dat
     return nodes.select("label", "dim", "node", "copies", "embedding").mapInArrow(run, "label string, dim int, node long, copies long, cell long, guest byte, unit binary")
 
 
+#: By bits of guest, the bits of those that a row meets in a cell.
+MEETS = {0: (0, 1, 2, 3), 1: (0, 2), 2: (0, 1), 3: (0,)}
+
+
+def _tile(left: tuple, right: tuple, cosine: float, same: bool) -> pd.DataFrame | None:
+    """Links between two sides (unit vectors, these in single precision, nodes, copies) of at most TILE rows; `same` says that they are one.
+
+    Single precision leaves out what is surely too far apart, and only rows and columns with a pair that is not are multiplied in double precision.
+    """
+    slack = 1e-6 + 2.0**-22 * left[0].shape[1]
+    near = left[1] @ right[1].T >= np.float32(cosine - slack)
+    r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(r):
+        return None
+    (a, m), (b, n) = ((side[2][at], side[3][at].astype(np.float64)) for side, at in ((left, r), (right, c)))
+    linked = left[0][r] @ right[0][c].T >= cosine
+    if same:
+        linked &= a[:, None] != b[None]
+    far, root, other = np.iinfo(np.int64).max, a, b
+    while True:
+        up = np.minimum(root, np.where(linked, other[None], far).min(axis=1))
+        across = np.minimum(other, np.where(linked, up[:, None], far).min(axis=0))
+        if (up == root).all() and (across == other).all():
+            break
+        root, other = up, across
+    found = [(a, linked @ n, root)] if same else [(a, linked @ n, root), (b, m @ linked, other)]
+    node, links, root = (np.concatenate(x) for x in zip(*found, strict=True))
+    some = links > 0
+    return pd.DataFrame({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
+
+
 def _blocks(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links that the rows of one pair of blocks have with each other."""
+        """Links between the rows of one block and another, or of a block with itself."""
         unit = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
-        node, copies, guest, part = (pdf[c].to_numpy() for c in ("node", "copies", "guest", "part"))
-        linked = unit @ unit.T >= cosine
-        linked &= (guest[:, None] & guest[None]) == 0
-        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
-            linked &= part[:, None] != part[None]
-        np.fill_diagonal(linked, False)
-        counts = linked @ copies.astype(np.float64)
-        root = node.copy()
-        while True:
-            least = np.minimum(root, np.where(linked, root[None], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
-            if (least == root).all():
-                break
-            root = least
-        some = counts > 0
-        return pd.DataFrame({"node": node[some], "links": counts[some].astype(np.int64), "root": root[some]})
+        rows = (unit, unit.astype(np.float32), pdf["node"].to_numpy(), pdf["copies"].to_numpy())
+        first = pdf["first"].to_numpy()
+        same = bool((pdf["i"].iloc[0] == pdf["j"].iloc[0]) and (pdf["of"].iloc[0] == pdf["to"].iloc[0]))
+        sides = [[np.flatnonzero(which)[at : at + TILE] for at in range(0, int(which.sum()), TILE)] for which in (first, first if same else ~first)]
+        side = lambda at: tuple(x[at] for x in rows)
+        found = [_tile(side(a), side(b), cosine, same and k == n) for k, a in enumerate(sides[0]) for n, b in enumerate(sides[1]) if not same or k <= n]
+        found = [x for x in found if x is not None]
+        return pd.concat(found) if found else pd.DataFrame({c: np.array([], np.int64) for c in ("node", "links", "root")})
 
     return run
 
 
+def _dealt(cells: DataFrame, block_rows: int) -> DataFrame:
+    """cells by pairs of blocks: block i of the guests `of` and block j of the guests `to`, and whether a row is of the `first` one."""
+    key = ["label", "dim", "cell"]
+    rows = F.greatest(F.least(F.lit(block_rows), F.lit(BLOCK_BYTES) / (8 * F.max("dim"))), F.lit(1))
+    blocks = lambda g: F.ceil(F.count_if(F.col("guest") == g) / rows).cast("int").alias(f"n{g}")
+    parted = cells.join(cells.groupBy(*key).agg(*(blocks(g) for g in MEETS)), key)
+    own = F.coalesce(*(F.when(F.col("guest") == g, F.col(f"n{g}")) for g in MEETS))
+    parted = parted.withColumn("me", F.struct(F.col("guest").cast("int").alias("g"), F.pmod(F.xxhash64("node"), own).cast("int").alias("k")))
+
+    def met(g: int) -> Column:
+        block = lambda k: F.struct(F.lit(g).alias("g"), k.cast("int").alias("k"))
+        meets = F.col("guest").isin([of for of, to in MEETS.items() if g in to]) & (F.col(f"n{g}") > 0)
+        return F.when(meets, F.transform(F.sequence(F.lit(0), F.col(f"n{g}") - 1), block)).otherwise(F.array().cast("array<struct<g: int, k: int>>"))
+
+    pairs = parted.withColumn("it", F.explode(F.concat(*(met(g) for g in MEETS)))).withColumn("a", F.least("me", "it")).withColumn("b", F.greatest("me", "it"))
+    ends = [F.col("a.g").alias("of"), F.col("a.k").alias("i"), F.col("b.g").alias("to"), F.col("b.k").alias("j")]
+    return pairs.select(*key, *ends, (F.col("me") == F.col("a")).alias("first"), "node", "copies", "unit")
+
+
 def cluster(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors(vec_id, embedding, label).
 
@@ -178,12 +222,8 @@ def cluster(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_
     nodes = materialize(nodes.withColumn("dim", F.size("embedding")).withColumn("node", F.xxhash64("label", "embedding")), "distinct-vectors")
 
     cells = materialize(_assign(nodes, _centroids(nodes), cosine), "cells")
-    key = ["label", "dim", "cell"]
-    sizes = cells.groupBy(*key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    parted = cells.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*key, "node", "copies", "guest", "unit", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    found = materialize(dealt.groupBy(*key, "i", "j").applyInPandas(_blocks(cosine), "node long, links long, root long"), "block-links")
+    dealt = _dealt(cells, block_rows)
+    found = materialize(dealt.groupBy("label", "dim", "cell", "of", "i", "to", "j").applyInPandas(_blocks(cosine), "node long, links long, root long"), "block-links")
 
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

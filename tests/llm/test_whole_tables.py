@@ -1,12 +1,16 @@
 """What queries return over whole tables, against DuckDB SQL or plain loops that share no code with them."""
 
 import hashlib
+import itertools
 import re
+from collections import Counter
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
-from pennyworks.llm import queries
+from pennyworks.llm import embedding_dedup, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -125,3 +129,35 @@ def test_personal_data_without_counted_characters(spark):
     assert corpus_pipeline.personal_data(spark, docs.where("false"), "").collect() == []
     counted = corpus_pipeline.personal_data(spark, docs.withColumn("n_chars", docs.kind.cast("long")), "")
     assert sorted((r.doc_id, r.n_chars) for r in counted.where("text is not null").collect()) == [(1, 16), (1, 16), (3, 0)]
+
+
+def test_only_rows_that_may_meet_in_a_cell_are_dealt_together(spark):
+    guests = [0] * 5 + [1] * 9 + [2] * 4 + [3] * 3
+    rows = [("a", 4, 7, n, 1, g, b"") for n, g in enumerate(guests)] + [("a", 4, 8, 90 + n, 1, 1, b"") for n in range(6)]
+    cells = spark.createDataFrame(rows, "label string, dim int, cell long, node long, copies long, guest byte, unit binary")
+    blocks = {}
+    for r in embedding_dedup._dealt(cells, 2).collect():
+        blocks.setdefault((r.cell, r.of, r.i, r.to, r.j), []).append((r.first, r.node))
+    met = Counter()
+    for (_, of, i, to, j), held in blocks.items():
+        left = [n for first, n in held if first]
+        right = [n for first, n in held if not first]
+        met.update(frozenset(p) for p in (itertools.combinations(left, 2) if (of, i) == (to, j) else itertools.product(left, right)))
+    assert met == {frozenset((a, b)): 1 for a, b in itertools.combinations(range(len(guests)), 2) if not guests[a] & guests[b]}
+
+
+def test_tiles_link_what_double_precision_links(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    x[30:] = x[:30] + rng.normal(size=(30, 8)) * 0.2
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    pdf = pd.DataFrame({"unit": [u.tobytes() for u in unit], "node": np.arange(60), "copies": 1, "first": True, "of": 0, "i": 0, "to": 0, "j": 0})
+    found = embedding_dedup._blocks(0.93)(pdf)
+    assert found.groupby("node")["links"].sum().to_dict() == {k: n for k, n in enumerate(linked.sum(axis=1)) if n}
+    half = pdf.assign(first=np.arange(60) < 25, j=1)
+    cut = linked.copy()
+    cut[:25, :25] = cut[25:, 25:] = False
+    assert embedding_dedup._blocks(0.93)(half).groupby("node")["links"].sum().to_dict() == {k: n for k, n in enumerate(cut.sum(axis=1)) if n}
