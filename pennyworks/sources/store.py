@@ -48,6 +48,7 @@ def update(spark: SparkSession, txns: DataFrame, path: str, touched: DataFrame |
     """
     null = F.lit(None).cast("string")
     mark = spark.range(1).select(*(null.alias(c) for c in KEY), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("digest"))
+    txns = written(txns, "txns")  # read by the digests and by what is stored, and parsed once
     versions, now = _versions(spark, path), digests(txns)
     if versions is None:
         todo, now = txns, now.unionByName(mark).withColumn("version", F.lit(1))
