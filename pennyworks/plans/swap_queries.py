@@ -43,7 +43,7 @@ def swap_sibling(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date", "narration", *KEY, "commodity", "qty", "net", F.when(F.col("sgn") < 0, "sell").otherwise("buy").alias("side"), F.col("qty").alias("size"),
         own.alias("id"), F.when(F.col("l_linenumber") == 7, F.concat("oid", F.lit(":1"))).alias("ref"),
     )
-    found = partners.siblings(legs, ["date", "narration"], [*KEY, "commodity", "qty", "net"])
+    found = partners.siblings(legs, ["date", "narration"], [*KEY, "commodity", "qty", "net"], [*KEY, "commodity"])
     return found.select(*KEY, "commodity", F.col("sibling.l_orderkey").alias("sibling_order"), F.col("sibling.l_linenumber").alias("sibling_line"))
 
 

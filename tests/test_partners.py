@@ -1,5 +1,7 @@
 """Suggestions, siblings, pooled swaps, CSV mappings and the store, against plain loops and round trips."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,34 @@ def test_only_times_are_ordered_to_cut_accounts(spark, monkeypatch):
     rows = [(f"t{k}", f"acc{k % 2}", f"2024-01-01 00:{k % 6 // 2 * 10:02d}:00", "XY"[k % 4 // 2], [1.0, -1.0][k // 2 % 2], None, "s", None, k) for k in range(120)]
     found = partners.suggest(spark.createDataFrame(rows, LEG), ["n", "id"]).count()
     assert seen == [6, 6] and found > 20
+
+
+def _sibling(leg, legs):
+    """The sibling of (day, side, commodity, size, n, id, ref) by a plain reading of the rules."""
+    by_size = lambda rows: sorted(rows, key=lambda r: (r[3], r[4]))
+    if leg[6] is not None and (named := [r[4] for r in legs if r[5] == leg[6]]):
+        return min(named)
+    here = [r for r in legs if r[0] == leg[0]]
+    other = [r for r in here if r[1] != leg[1]]
+    own = [r for r in here if r[1] == leg[1] and r[2] == leg[2]]
+    if len(own) == len(other) > 1:
+        return by_size(other)[by_size(own).index(leg)][4]
+    if other:
+        return min(r[4] for r in other)
+    own, rest = [r for r in here if r[2] == leg[2]], [r for r in here if r[2] != leg[2]]
+    if len(own) == len(rest) > 1:
+        return by_size(rest)[by_size(own).index(leg)][4]
+    return min((r[4] for r in rest), default=None)
+
+
+def test_siblings_equal_a_loop_and_only_legs_with_a_rank_meet_again(spark):
+    draw, rows = random.Random(11), []
+    for day in range(60):
+        sides = ["sell"] if day % 3 == 0 else ["sell", "buy"]
+        for _ in range(draw.choice([1, 2, 4, 6])):
+            n = len(rows)
+            rows.append((f"d{day}", draw.choice(sides), draw.choice("AB" if day % 2 else "ABC"), float(draw.randint(1, 3)), n, f"x{n // 2}", f"x{draw.randint(0, 80)}" if draw.random() < 0.2 else None))
+    legs = spark.createDataFrame(rows, "day string, side string, commodity string, size double, n int, id string, ref string")
+    found = partners.siblings(legs, ["day"], ["n"], ["n", "ref"])
+    assert found.columns == ["n", "ref", "sibling"]
+    assert {r.n: r.sibling and r.sibling.n for r in found.collect()} == {r[4]: _sibling(r, rows) for r in rows}
